@@ -1,11 +1,350 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries: every operator over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomtext.functions import affect, interpret, phrases, responses, roles
+from loomtext.functions import text as T
+from loomtext.operators import annotate as A
+from loomtext.operators import dialogue, events, graph, segments
+from loomtext.plans import oracle
+from loomtext.sources import resources
+from loomtext.sources.files import texts_frame
+from loomtext.sources.tables import read_table
+
+#: Words that invented prose has, so that lexicon queries find something in it.
+COMMON_POSITIVE = ("and", "der", "la", "que", "the")
+COMMON_NEGATIVE = ("die", "el", "of", "un", "y")
+COMMON_EMOTIONS = {"joy": ("the", "la"), "sadness": ("of", "die"), "fear": ("and", "que"), "anger": ("der", "el")}
+#: Names that stand for places and their coordinates in prose that has no real ones.
+COMMON_PLACES = (("The", 51.5, -0.1), ("La", 48.9, 2.35), ("Die", 52.5, 13.4), ("El", 40.4, -3.7))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "text")
+
+
+def _segments(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+    return segments.split_into_segments(_texts(spark, sf_dir), n)
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.split_sentences(_texts(spark, sf_dir))
+
+
+def segment_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
+def segment_pack_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.chunk_text(_texts(spark, sf_dir), 10)
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = T.tokens(F.col("text"))
+    return _texts(spark, sf_dir).select("doc_id", F.size(own).alias("n_tokens"), F.size(F.array_distinct(own)).alias("n_distinct"))
+
+
+def _scored(df: DataFrame, *columns: str, **words) -> DataFrame:
+    counted = df.select(*columns, affect.polarity_counts(F.col("text"), **words).alias("n"))
+    found = affect.sentiment_of_counts(F.col("n.pos"), F.col("n.neg"))
+    return counted.select(*columns, F.col("n.pos").alias("pos"), F.col("n.neg").alias("neg"), found["label"].alias("label"), F.round(found["score"], 6).alias("score"))
+
+
+def sentiment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_segments(spark, sf_dir), "doc_id", "segId")
+
+
+def sentiment_own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_segments(spark, sf_dir), "doc_id", "segId", positive=COMMON_POSITIVE, negative=COMMON_NEGATIVE)
+
+
+def sentiment_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(_documents(spark, sf_dir), "lang", positive=COMMON_POSITIVE, negative=COMMON_NEGATIVE)
+    return scored.groupBy("lang", "label").agg(
+        F.count("*").alias("n"), F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"), F.round(F.avg("score"), 6).alias("score")
+    )
+
+
+def _emotions(df: DataFrame, *columns: str, words=affect.EMOTION_WORDS) -> DataFrame:
+    return df.withColumn("e", affect.rule_emotion(F.col("text"), words)).select(
+        *columns, F.col("e.label").alias("label"), F.round("e.score", 6).alias("score"), F.round("e.signed", 6).alias("signed")
+    )
+
+
+def emotion_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _emotions(_segments(spark, sf_dir), "doc_id", "segId")
+
+
+def emotion_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _emotions(_segments(spark, sf_dir), "doc_id", "segId", words=COMMON_EMOTIONS)
+
+
+def emotion_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _segments(spark, sf_dir).withColumn("e", affect.rule_emotion(F.col("text"), COMMON_EMOTIONS))
+    return found.select("doc_id", "segId", F.explode("e.distribution").alias("label", "share")).groupBy("doc_id", "label").agg(
+        F.round(F.avg("share"), 6).alias("share")
+    )
+
+
+def summary_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", interpret.summary(F.col("text")).alias("summary"))
+
+
+def interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = A.with_emotion(A.with_sentiment(_segments(spark, sf_dir), positive=COMMON_POSITIVE, negative=COMMON_NEGATIVE), words=COMMON_EMOTIONS)
+    return A.with_interpretation(read, summarize=False, tag_themes=False).select("doc_id", "segId", "interpretation")
+
+
+def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = interpret.THEMES | {"article": ("the", "der", "la")}
+    return _texts(spark, sf_dir).select("doc_id", F.array_join(interpret.themes(F.col("text"), buckets), ",").alias("themes"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.with_entities(_segments(spark, sf_dir), places=False)
+
+
+def annotate_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _entities(spark, sf_dir).select("doc_id", "segId", F.explode("entities").alias("e"))
+    return each.select("doc_id", "segId", "e.start_char", "e.token", "e.tag")
+
+
+def entity_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _entities(spark, sf_dir).select("doc_id", F.explode("entities.tag").alias("tag"))
+    return each.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def classify_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))
+    counted = _texts(spark, sf_dir).select(words.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return counted.select("name", "n", phrases.classified(F.col("name"), F.lit("GPE"), resources.gazetteer()).alias("class"))
+
+
+def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))
+    counted = _texts(spark, sf_dir).select(words.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return counted.where(F.col("name").isin(*resources.gazetteer()["AMBIGUOUS-CITY"]))
+
+
+def line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.label_lines(_texts(spark, sf_dir), key="doc_id")
+
+
+def line_roles_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.label_lines(_texts(spark, sf_dir), roles.STRICT_SPEAKERS, key="doc_id")
+
+
+def is_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.split_sentences(_texts(spark, sf_dir)).select("doc_id", "sent_id", roles.is_question(F.col("text")).alias("is_question"))
+
+
+def turn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.label_lines(_texts(spark, sf_dir), key="doc_id")
+    return dialogue.merged_turns(rows, "doc_id", "line", ["role", "tag"], F.startswith("text", F.lit("("))).select(
+        "doc_id", "turn", "role", "tag", "text"
+    )
+
+
+def testimony_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.segment_testimony(_texts(spark, sf_dir), key="doc_id")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("role") == "user", "interviewer").when(F.col("role") == "assistant", "witness").otherwise("narration")
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), "text")
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.paired_turns(_turns(spark, sf_dir), "conv_id", "turn").drop("text")
+
+
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _turns(spark, sf_dir).select("conv_id", F.col("turn").alias("ord"), "role", F.upper("role").alias("tag"), "text")
+    return dialogue.pairs_of(said, roles.INTERVIEWER_TAGS, True, "conv_id")
+
+
+def qa_pairs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.extract_qa_pairs(_texts(spark, sf_dir), key="doc_id")
+
+
+def rule_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions without a parser: a document is a segment of its source, a sentence its own phrase.
+
+    Capitalised words after the first stand for persons, the common place names
+    for places, numbers of four digits for dates.
+    """
+    said = segments.split_sentences(_documents(spark, sf_dir).select("source", "doc_id", "text"))
+    own = F.array_distinct(F.regexp_extract_all("text", F.lit(r" ([A-Z][a-z]+)"), F.lit(1)))
+    places = [n for n, _, _ in COMMON_PLACES]
+    return said.select(
+        F.col("source").alias("fileId"),
+        F.struct("doc_id", "sent_id").alias("ord"),
+        F.col("doc_id").alias("segId"),
+        F.col("text").alias("canon"),
+        F.col("text").alias("sentence"),
+        F.filter(own, lambda w: ~w.isin(*places)).alias("persons"),
+        F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1))), lambda w: w.isin(*places)).alias("places"),
+        F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]{4})"), F.lit(1))).alias("dates"),
+    )
+
+
+def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_mentions(spark, sf_dir)
+    lists = [F.array_join(c, "|").alias(c) for c in ("persons", "places", "dates")]
+    return found.select("fileId", "segId", F.col("ord.sent_id").alias("sent_id"), events.event_key(F.col("canon")).alias("key"), *lists)
+
+
+def event_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.aggregate_mentions(rule_mentions(spark, sf_dir))
+    return found.select(
+        "fileId", "event", "place", "date", "count_mentions", F.array_join("persons", "|").alias("persons"), F.array_join("others", "|").alias("others"),
+        F.array_join("sources", ",").alias("sources"), F.round("confidence", 6).alias("confidence"),
+    )
+
+
+def event_major_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.categorized(events.aggregate_mentions(rule_mentions(spark, sf_dir)))
+    return found.select("fileId", "event", "count_mentions", "category")
+
+
+def event_emotion_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _documents(spark, sf_dir).withColumn("e", affect.rule_emotion(F.col("text"), COMMON_EMOTIONS))
+    predictions = told.select(F.col("source").alias("fileId"), F.col("doc_id").alias("segId"), "e.label", "e.signed")
+    found = events.with_pooled_emotion(events.aggregate_mentions(rule_mentions(spark, sf_dir)), predictions)
+    return found.select("fileId", "event", "emotion", F.round("emotion_valence", 6).alias("emotion_valence"))
+
+
+def people_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.extract_events(rule_mentions(spark, sf_dir))
+    return events.flat_events(found).select("fileId", "event", "category", "place", "date", "people")
+
+
+def witness_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = segments.split_sentences(_texts(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list("text").alias("evidence"))
+    return said.select("doc_id", events.witness(F.col("evidence")).alias("witness"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of two letters or three in segments stand for entities."""
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{1,2})(?:[^a-zA-Z]|$)"), F.lit(1))))
+    return _segments(spark, sf_dir).select("doc_id", "segId", names.alias("node"))
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).groupBy("doc_id").agg(F.min("segId").alias("low"), F.max("segId").alias("high"))
+
+
+def cooccurrence_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_nodes(spark, sf_dir), 0, "doc_id", sizes=_bounds(spark, sf_dir))
+
+
+def cooccurrence_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_nodes(spark, sf_dir), 1, "doc_id", sizes=_bounds(spark, sf_dir))
+
+
+def cooccurrence_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the whole list of segments, across documents."""
+    every = graph.global_ordinals(_segments(spark, sf_dir), "doc_id")
+    bounds = every.agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
+    found = _nodes(spark, sf_dir).join(every, ["doc_id", "segId"]).select("ordinal", "node")
+    return graph.cooccurrence(found, 1, None, "ordinal", bounds)
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"GPE": [n for n, _, _ in COMMON_PLACES]}
+    found = A.with_entities(_segments(spark, sf_dir), terms=names, places=False).withColumnRenamed("doc_id", "fileId")
+    return graph.located(graph.place_mentions(found), spark.createDataFrame(list(COMMON_PLACES), "name string, lat double, lon double"))
+
+
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.features(_located(spark, sf_dir))
+    return found.groupBy("name", "tag").agg(
+        F.count("*").alias("n"), F.min(F.col("feature.geometry.coordinates")[0]).alias("lon"), F.min(F.col("feature.geometry.coordinates")[1]).alias("lat")
+    )
+
+
+def place_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.centroid(_located(spark, sf_dir)).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def export_flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _entities(spark, sf_dir).where("size(entities) > 0")
+    return own.select("doc_id", "segId", F.to_json(F.transform("entities", lambda e: F.struct(e["token"].alias("token"), e["tag"].alias("tag")))).alias("entities"))
+
+
+def llm_parse_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of the events' fields: objects with known and unknown labels and any score, and prose."""
+    e = read_table(spark, sf_dir, "events")
+    label = F.element_at(F.array(*map(F.lit, ("positive", "Negative ", "neutral", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))
+    told = F.concat(F.lit('{"label": "'), label, F.lit('", "score": '), ((F.col("event_id") % 13) / 10).cast("string"), F.lit("}"))
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("It is "), label)).otherwise(told)
+    found = e.select("event_id", responses.parsed_sentiment(raw).alias("p"))
+    return found.select("event_id", "p.label", F.round("p.score", 6).alias("score"))
+
+
+def llm_parse_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events")
+    label = F.element_at(F.array(*map(F.lit, ("joy", "FEAR", "odd", "anger"))), (F.col("event_id") % 4 + 1).cast("int"))
+    part = lambda n, m: F.concat(F.lit(f'"{n}": '), (F.col("event_id") % m).cast("string"))
+    told = F.concat(F.lit('{"label": "'), label, F.lit('", "score": 0.75, "distribution": {'), part("joy", 5), F.lit(", "), part("fear", 3), F.lit("}}"))
+    raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("Perhaps "), label)).otherwise(told)
+    found = e.select("event_id", responses.parsed_emotion(raw).alias("p"))
+    return found.select("event_id", "p.label", F.round("p.score", 6).alias("score"), F.round(F.col("p.distribution")["joy"], 6).alias("joy"))
+
+
+def semantic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy clusters of the vectors of each label; order matters, so SQL can't express it."""
+    v = read_table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return events.semantic_clusters(v.select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding"))
+
+
+def annotation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole annotation records: segments with entities, affect and readings."""
+    from loomtext.schemas import ANNOTATION, conformed
+
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("fileId"), "text")
+    read = A.with_interpretation(A.with_emotion(A.with_sentiment(A.annotate(segments.split_into_segments(docs))), distribution=True))
+    return conformed(read, ANNOTATION)
+
+
+def gazetteer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resources.label_counts(spark)
+
+
+def texts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotator over a list of texts in memory."""
+    texts = ["We left the village by the river.", "My mother and father were there."]
+    each = A.annotate(texts_frame(spark, texts, "list")).select("fileId", "segId", "segCount", F.explode("entities").alias("e"))
+    return each.select("fileId", "segId", "segCount", "e.start_char", "e.token", "e.tag")
+
+
+def speaker_turn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    return rows.withColumn("changes", F.coalesce((F.lag("role").over(by) != F.col("role")).cast("int"), F.lit(1))).groupBy("role").agg(
+        F.count("*").alias("turns"), F.sum("changes").alias("runs")
+    )
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "sentiment_rule"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        sentence_split, segment_ntile, segment_pack_fixed, token_counts, sentiment_rule, sentiment_own_words, sentiment_by_lang, emotion_rule,
+        emotion_signed, emotion_distribution, summary_truncate, interpretation, themes, annotate_gazetteer, entity_label_counts, classify_places,
+        ambiguous_names, line_roles, line_roles_strict, is_question, turn_merge, testimony_segments, conversation_pairs, qa_pairs, qa_pairs_documents,
+        event_mentions, event_aggregate, event_major_minor, event_emotion_mode, people_flatten, witness_infer, cooccurrence_w0, cooccurrence_w1,
+        cooccurrence_across, geojson_features, place_centroid, export_flatten_json, llm_parse_sentiment, llm_parse_emotion, semantic_dedupe,
+        annotation_records, gazetteer_labels, texts_list, speaker_turn_counts,
+    )
+}
+ORACLE_SQL: dict[str, str] = oracle.queries(COMMON_POSITIVE, COMMON_NEGATIVE, COMMON_EMOTIONS, COMMON_PLACES)
