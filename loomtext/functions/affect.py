@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import count_in, tokens
+from loomtext.functions.text import count_in, let, tokens
 
 POSITIVE = frozenset(
     "free freedom happiness happy help helped hope joy kind kindness love peace protected relief"
@@ -40,7 +40,7 @@ def clamp(value: Column, low: float = -1.0, high: float = 1.0) -> Column:
 def polarity_counts(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """(pos, neg): tokens of either list, each time they occur; zeros for null."""
     words = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    return F.struct(count_in(words, positive).alias("pos"), count_in(words, negative).alias("neg"))
+    return let(words, lambda w: F.struct(count_in(w, positive).alias("pos"), count_in(w, negative).alias("neg")))
 
 
 def sentiment_of_counts(pos: Column, neg: Column) -> Column:
@@ -51,8 +51,7 @@ def sentiment_of_counts(pos: Column, neg: Column) -> Column:
 
 
 def rule_sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
-    counts = polarity_counts(text, positive, negative)
-    return sentiment_of_counts(counts["pos"], counts["neg"])
+    return let(polarity_counts(text, positive, negative), lambda n: sentiment_of_counts(n["pos"], n["neg"]))
 
 
 def normal_label(label: Column) -> Column:
@@ -80,7 +79,7 @@ def signed_from_top(label: Column, score: Column) -> Column:
 def emotion_counts(text: Column, words: Mapping[str, Sequence[str]] = EMOTION_WORDS) -> Column:
     """Tokens of each emotion in the order of ``EMOTIONS``; neutral has none."""
     own = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    return F.array(*[count_in(own, words[e]) if words.get(e) else F.lit(0) for e in EMOTIONS])
+    return let(own, lambda w: F.array(*[count_in(w, words[e]) if words.get(e) else F.lit(0) for e in EMOTIONS]))
 
 
 def emotion_of_counts(counts: Column) -> Column:
@@ -89,15 +88,25 @@ def emotion_of_counts(counts: Column) -> Column:
     Without a hit the text is neutral with certainty. Ties go to the label that
     is first in ``EMOTIONS``.
     """
-    n = [F.get(counts, F.lit(i)) for i in range(len(EMOTIONS))]
-    whole = sum((F.exp(x.cast("double")) for x in n[1:]), F.exp(n[0].cast("double")))
-    any_hit = sum(n[1:], n[0]) > 0
-    share = [F.when(any_hit, F.exp(x.cast("double")) / whole).otherwise(1.0 if i == 0 else 0.0) for i, x in enumerate(n)]
-    top = F.greatest(*share)
-    label = F.coalesce(*[F.when(s == top, e) for e, s in zip(EMOTIONS, share)])
-    signed = clamp(sum((s * VALENCE[e] for e, s in list(zip(EMOTIONS, share))[1:]), F.lit(0.0)))
-    pairs = F.map_from_arrays(F.array(*map(F.lit, EMOTIONS)), F.array(*share))
-    return F.struct(label.alias("label"), top.alias("score"), signed.alias("signed"), pairs.alias("distribution"))
+
+    def shares(n: Column) -> Column:
+        whole = F.aggregate(n, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double")))
+        soft = let(whole, lambda z: F.transform(n, lambda x: F.exp(x.cast("double")) / z))
+        certain = F.array(*[F.lit(1.0 if e == "neutral" else 0.0) for e in EMOTIONS])
+        return F.when(F.exists(n, lambda x: x > 0), soft).otherwise(certain)
+
+    def read(p: Column) -> Column:
+        names = F.array(*map(F.lit, EMOTIONS))
+        top = F.array_max(p)
+        signed = clamp(sum((F.get(p, F.lit(i)) * VALENCE[e] for i, e in enumerate(EMOTIONS) if i), F.lit(0.0)))
+        return F.struct(
+            F.get(names, (F.array_position(p, top) - 1).cast("int")).alias("label"),
+            top.alias("score"),
+            signed.alias("signed"),
+            F.map_from_arrays(names, p).alias("distribution"),
+        )
+
+    return let(let(counts, shares), read)
 
 
 def rule_emotion(text: Column, words: Mapping[str, Sequence[str]] = EMOTION_WORDS) -> Column:

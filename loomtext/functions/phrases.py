@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Iterable, Mapping, Sequence
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,17 +21,26 @@ KEPT_LABELS = (
 )
 
 
+def holds(terms: Iterable[str], value: Column) -> Column:
+    """Whether some terms hold a value; the list is one literal, folded to an array when planned."""
+    return F.array_contains(F.from_json(F.lit(json.dumps(sorted(terms))), "array<string>"), value)
+
+
 def classified(name: Column, label: Column, classes: Mapping[str, Sequence[str]]) -> Column:
     """The class of a place name by exact spelling, PLACE for a place in no list; other labels stay."""
     out = F.when(~label.isin(*PLACE_LABELS), label)
     for kind in PLACE_CLASSES:
         if classes.get(kind):
-            out = out.when(name.isin(*sorted(classes[kind])), kind)
+            out = out.when(holds(classes[kind], name), kind)
     return out.otherwise("PLACE")
 
 
-def phrase_matches(text: Column, terms: Mapping[str, Sequence[str]]) -> Column:
-    """(start_char, token, tag) of each term in a text, in order; none for null.
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def phrase_matches(text: str, terms: Mapping[str, Sequence[str]]) -> Column:
+    """(start_char, token, tag) of each term in the column ``text``, in order; none for null.
 
     ``terms`` maps a label to its terms; a term of two labels has the first. A
     match is exact and starts and ends between pieces of the text. Of matches
@@ -39,45 +50,30 @@ def phrase_matches(text: Column, terms: Mapping[str, Sequence[str]]) -> Column:
     The pieces that start some term are found first, by a hash lookup; only there
     are the next pieces joined and looked up. All of it is one row's work, with
     neither shuffle nor join. Made for segments: the offset of a match takes the
-    length of what is before it.
+    length of what is before it. It is one SQL text, as thousands of literals
+    take long to hand over one by one.
     """
     every = sorted({t for own in terms.values() for t in own if t})
     if not every:
-        return F.array().cast(f"array<{ENTITY}>")
-    split = [_pieces(t) for t in every]
-    heads = sorted({p[0] for p in split})
-    most = max(map(len, split))
-    pieces = F.coalesce(F.regexp_extract_all(text, F.lit(PIECE), F.lit(1)), F.array().cast("array<string>"))
-    places = F.sequence(F.lit(0), F.size(pieces) - 1)
-    starts = F.filter(F.when(F.size(pieces) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.get(pieces, i).isin(*heads))
-    here = lambda i: F.filter(
-        F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.array_join(F.slice(pieces, i + 1, k), "")),
-        lambda c: c.isin(*every),
-    )
-    candidates = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.slice(F.array_distinct(here(i)), 1, most),
-                lambda c: F.struct(
-                    (-F.length(c)).alias("less"), F.length(F.array_join(F.slice(pieces, 1, i), "")).alias("at"), c.alias("token")
-                ),
-            ),
-        )
-    )
-    end = lambda x: x["at"] - x["less"]
-    kept = F.aggregate(
-        F.array_sort(candidates),
-        F.array().cast("array<struct<less:int,at:int,token:string>>"),
-        lambda own, x: F.when(F.exists(own, lambda y: (x["at"] < end(y)) & (y["at"] < end(x))), own).otherwise(F.concat(own, F.array(x))),
-    )
-    label = lambda token: F.coalesce(*[F.when(token.isin(*sorted(own)), k) for k, own in terms.items() if own])
+        return F.expr(f"cast(array() as array<{ENTITY}>)")
+    split = [pieces_of(t) for t in every]
+    heads = ", ".join(map(_quoted, sorted({p[0] for p in split})))
+    known = ", ".join(map(_quoted, every))
+    kind = "array<struct<less:int,at:int,token:string>>"
+    # let(v, x -> body) is transform(array(v), x -> body)[0]: v is worked out once
+    runs = f"filter(transform(sequence(1, {max(map(len, split))}), k -> array_join(slice(p, i + 1, k), '')), c -> c in ({known}))"
+    placed = "transform(array(length(array_join(slice(p, 1, i), ''))), n -> transform(f, c -> named_struct('less', -length(c), 'at', n, 'token', c)))[0]"
+    at_start = f"transform(array(array_distinct({runs})), f -> if(size(f) > 0, {placed}, cast(array() as {kind})))[0]"
+    starts = f"filter(if(size(p) > 0, sequence(0, size(p) - 1), cast(array() as array<int>)), i -> p[i] in ({heads}))"
+    pieces = f"coalesce(regexp_extract_all(`{text}`, {_quoted(PIECE)}, 1), cast(array() as array<string>))"
+    found = f"transform(array({pieces}), p -> array_sort(flatten(transform({starts}, i -> {at_start}))))[0]"
+    apart = "exists(own, y -> x.at < y.at - y.less and y.at < x.at - x.less)"
+    kept = F.expr(f"aggregate({found}, cast(array() as {kind}), (own, x) -> if({apart}, own, concat(own, array(x))))")
+    label = lambda token: F.coalesce(*[F.when(holds(own, token), k) for k, own in terms.items() if own])
     return F.array_sort(
         F.transform(kept, lambda x: F.struct(x["at"].alias("start_char"), x["token"].alias("token"), label(x["token"]).alias("tag")))
     )
 
 
-def _pieces(term: str) -> list[str]:
-    import regex
-
+def pieces_of(term: str) -> list[str]:
     return regex.findall(PIECE, term)

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import stripped
+from loomtext.functions.text import let, stripped
 
 
 def _labels(full: str, *short: str) -> list[str]:
@@ -39,7 +39,10 @@ def detected_role(line: Column, speakers: Mapping[str, Sequence[str]] = SPEAKERS
     The label is taken off. A label in capitals that starts with INT, or is Q,
     is an interviewer's; any other is a witness's. An unknown line has tag ''.
     """
-    t = stripped(line)
+    return let(stripped(line), lambda t: _role_of(t, speakers))
+
+
+def _role_of(t: Column, speakers: Mapping[str, Sequence[str]]) -> Column:
     out = None
     row = lambda role, tag, text: F.struct(role.alias("role"), tag.alias("tag"), text.alias("text"))
     for role, patterns in speakers.items():

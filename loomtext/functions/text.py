@@ -5,7 +5,7 @@ A text is cut within its own row, so none of these needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ _END, _DOT = "\x01", "\x02"
 LINE_BREAKS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -47,33 +52,42 @@ def packed_evenly(parts: Column, n_segments: int = 100) -> Column:
 
     Sizes are those of ``ntile``: they differ by one at most.
     """
-    count = F.size(parts)
-    n = F.greatest(F.lit(1), F.least(F.lit(n_segments), count))
-    base, extra = F.floor(count / n).cast("int"), count % n
-    begin = lambda k: k * base + F.least(k, extra)
-    runs = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.array_join(F.slice(parts, begin(k) + 1, begin(k + 1) - begin(k)), " "),
-    )
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def pack(own: Column) -> Column:
+        count = F.size(own)
+        n = F.greatest(F.lit(1), F.least(F.lit(n_segments), count))
+        base, extra = F.floor(count / n).cast("int"), count % n
+        start = lambda k: k * base + F.least(k, extra)
+        runs = F.transform(
+            F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(own, start(k) + 1, start(k + 1) - start(k)), " ")
+        )
+        return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return let(parts, pack)
 
 
 def packed_by_size(parts: Column, n_segments: int = 100) -> Column:
     """Runs of ``ceil(parts / n_segments)`` parts, joined by a blank; the last run may be shorter."""
-    count = F.size(parts)
-    size = F.greatest(F.lit(1), F.ceil(count / max(1, n_segments)).cast("int"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.ceil(count / size).cast("int") - 1),
-        lambda k: F.array_join(F.slice(parts, k * size + 1, size), " "),
-    )
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def pack(own: Column) -> Column:
+        count = F.size(own)
+        size = F.greatest(F.lit(1), F.ceil(count / max(1, n_segments)).cast("int"))
+        runs = F.transform(
+            F.sequence(F.lit(0), F.ceil(count / size).cast("int") - 1), lambda k: F.array_join(F.slice(own, k * size + 1, size), " ")
+        )
+        return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return let(parts, pack)
 
 
 def lines(text: Column) -> Column:
     """Lines at any Unicode line break; a break at the end opens no further line."""
-    parts = F.split(text, LINE_BREAKS)
-    last = F.size(parts)
-    return F.when(F.get(parts, last - 1) == "", F.slice(parts, 1, F.greatest(last - 1, F.lit(0)))).otherwise(parts)
+
+    def cut(parts: Column) -> Column:
+        last = F.size(parts)
+        return F.when(F.get(parts, last - 1) == "", F.slice(parts, 1, F.greatest(last - 1, F.lit(0)))).otherwise(parts)
+
+    return let(F.split(text, LINE_BREAKS), cut)
 
 
 def tokens(text: Column) -> Column:

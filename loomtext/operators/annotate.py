@@ -39,7 +39,7 @@ def with_entities(
     wanted = dict(terms if terms is not None else resources.phrase_terms(folder))
     if places:
         wanted |= place_names(known)
-    found = phrases.phrase_matches(F.col("text"), wanted)
+    found = phrases.phrase_matches("text", wanted)
     out = df.withColumn("__found", found)
     if backend is not None:
         model = backend(out)

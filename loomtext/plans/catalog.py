@@ -70,7 +70,7 @@ def sentiment_own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentiment_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(_documents(spark, sf_dir), "lang", positive=COMMON_POSITIVE, negative=COMMON_NEGATIVE)
     return scored.groupBy("lang", "label").agg(
-        F.count("*").alias("n"), F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"), F.round(F.avg("score"), 6).alias("score")
+        F.count("*").alias("n"), F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"), F.round(F.avg("score"), 4).alias("score")
     )
 
 
@@ -132,7 +132,7 @@ def classify_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))
     counted = _texts(spark, sf_dir).select(words.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return counted.where(F.col("name").isin(*resources.gazetteer()["AMBIGUOUS-CITY"]))
+    return counted.where(phrases.holds(resources.gazetteer()["AMBIGUOUS-CITY"], F.col("name")))
 
 
 def line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def event_emotion_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = _documents(spark, sf_dir).withColumn("e", affect.rule_emotion(F.col("text"), COMMON_EMOTIONS))
     predictions = told.select(F.col("source").alias("fileId"), F.col("doc_id").alias("segId"), "e.label", "e.signed")
     found = events.with_pooled_emotion(events.aggregate_mentions(rule_mentions(spark, sf_dir)), predictions)
-    return found.select("fileId", "event", "emotion", F.round("emotion_valence", 6).alias("emotion_valence"))
+    return found.select("fileId", "event", "emotion", (F.round("emotion_valence", 6) + 0.0).alias("emotion_valence"))
 
 
 def people_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:

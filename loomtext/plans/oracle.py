@@ -29,12 +29,12 @@ def _sentences(text: str, blanks: str = _text(BLANKS)) -> str:
 
 _TOKENS = f"list_transform(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''), lambda t: lower(trim(t, {_text(EDGE_MARKS)})))"
 _SENTS = f"""parts AS (SELECT doc_id, {_sentences('text')} AS p FROM documents),
-    sents AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS sent_id FROM parts)"""
+    sents AS (SELECT doc_id, unnest(p) AS text, (generate_subscripts(p, 1) - 1)::INT AS sent_id FROM parts)"""
 _SEGMENTS = _SENTS + """,
     tiled AS (SELECT *, ntile(100) OVER (PARTITION BY doc_id ORDER BY sent_id) AS tile FROM sents),
-    segments AS (SELECT doc_id, tile AS "segId", string_agg(text, ' ' ORDER BY sent_id) AS text FROM tiled GROUP BY doc_id, tile)"""
+    segments AS (SELECT doc_id, tile::INT AS "segId", string_agg(text, ' ' ORDER BY sent_id) AS text FROM tiled GROUP BY doc_id, tile)"""
 _LINES = r"""broken AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS l FROM documents),
-    said AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS raw FROM broken)"""
+    said AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS line, unnest(l) AS raw FROM broken)"""
 
 
 def _roles(speakers: Mapping[str, Sequence[str]]) -> str:
@@ -75,8 +75,8 @@ def _turns(same: str, apart: str = "false") -> str:
 
 def _turn_sentences(columns: str) -> str:
     return f"""cut AS (SELECT doc_id, turn, {columns}, {_sentences('text')} AS p FROM turns),
-    flat AS (SELECT doc_id, turn, {columns}, unnest(p) AS text, generate_subscripts(p, 1) AS at FROM cut),
-    uttered AS (SELECT doc_id, {columns}, text, row_number() OVER (PARTITION BY doc_id ORDER BY turn, at) AS ord FROM flat)"""
+    flat AS (SELECT doc_id, turn, {columns}, unnest(p) AS text, generate_subscripts(p, 1) AS nth FROM cut),
+    uttered AS (SELECT doc_id, {columns}, text, row_number() OVER (PARTITION BY doc_id ORDER BY turn, flat.nth)::INT AS ord FROM flat)"""
 
 
 def _paired(source: str, key: str, order: str) -> str:
@@ -101,7 +101,7 @@ def _qa(source: str, key: str) -> str:
 
 def _counts(positive: Sequence[str], negative: Sequence[str]) -> str:
     hits = lambda words: f"len(list_filter(w, lambda t: list_contains({_list(words)}, t)))"
-    return f"{hits(positive)} AS pos, {hits(negative)} AS neg"
+    return f"{hits(positive)}::INT AS pos, {hits(negative)}::INT AS neg"
 
 
 _LABEL = "CASE WHEN tanh((pos - neg) / 3.0) > 0.15 THEN 'positive' WHEN tanh((pos - neg) / 3.0) < -0.15 THEN 'negative' ELSE 'neutral' END"
@@ -137,21 +137,21 @@ def _matches(terms: Mapping[str, Sequence[str]]) -> str:
     for label, own in terms.items():
         for t in own:
             first.setdefault(t, label)
-    pieces = {t: phrases._pieces(t) for t in first}
+    pieces = {t: phrases.pieces_of(t) for t in first}
     most = max(len(p) for p in pieces.values())
     values = ", ".join(f"({_text(t)}, {_text(k)}, {_text(pieces[t][0])})" for t, k in sorted(first.items()))
     return f"""gaz(term, label, head) AS (VALUES {values}),
     heads AS (SELECT DISTINCT head FROM gaz),
     split AS (SELECT doc_id, "segId", regexp_extract_all(text, {_text(phrases.PIECE)}) AS p FROM segments),
     pieces AS (SELECT doc_id, "segId", p, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM split),
-    placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, "segId" ORDER BY i) - length(piece) AS at FROM pieces),
+    placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, "segId" ORDER BY i) - length(piece) AS o FROM pieces),
     starts AS (SELECT * FROM placed SEMI JOIN heads ON piece = head),
-    runs AS (SELECT doc_id, "segId", at, array_to_string(p[i:i + k], '') AS token FROM starts, range(0, {most}) r(k) WHERE i + k <= len(p)),
-    met AS (SELECT doc_id, "segId", at::BIGINT AS at, token, label FROM runs JOIN gaz ON token = term),
-    ordered AS (SELECT doc_id, "segId", list([{{'at': at, 'til': at + length(token), 'token': token, 'tag': label}}] ORDER BY length(token) DESC, at) AS m
+    runs AS (SELECT doc_id, "segId", o, array_to_string(p[i:i + k], '') AS token FROM starts, range(0, {most}) r(k) WHERE i + k <= len(p)),
+    met AS (SELECT doc_id, "segId", o::BIGINT AS o, token, label FROM runs JOIN gaz ON token = term),
+    ordered AS (SELECT doc_id, "segId", list([{{'o': o, 'til': o + length(token), 'token': token, 'tag': label}}] ORDER BY length(token) DESC, o) AS m
         FROM met GROUP BY doc_id, "segId"),
     folded AS (SELECT doc_id, "segId", unnest(list_reduce(m, lambda own, x: CASE
-        WHEN len(list_filter(own, lambda y: x[1].at < y.til AND y.at < x[1].til)) > 0 THEN own ELSE list_concat(own, x) END)) AS e FROM ordered)"""
+        WHEN len(list_filter(own, lambda y: x[1].o < y.til AND y.o < x[1].til)) > 0 THEN own ELSE list_concat(own, x) END)) AS e FROM ordered)"""
 
 
 def _mentions(places: Sequence[str]) -> str:
@@ -197,10 +197,10 @@ def queries(
     user = "CASE role WHEN 'user' THEN 'interviewer' WHEN 'assistant' THEN 'witness' ELSE 'narration' END"
     talk = f"talk AS (SELECT conv_id, turn, {user} AS role, text FROM conversations)"
     located = f"""{_SEGMENTS}, {_matches({"GPE": names})},
-        at(name, lat, lon) AS (VALUES {", ".join(f"({_text(n)}, {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in places)}),
+        spots(name, lat, lon) AS (VALUES {", ".join(f"({_text(n)}, {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in places)}),
         tagged AS (SELECT e.token AS name, CASE {' '.join(f"WHEN e.token IN {_among([x for x in names if x in known[k]])} THEN '{k}'" for k in phrases.PLACE_CLASSES if set(names) & set(known[k]))
         or "WHEN false THEN ''"} ELSE 'PLACE' END AS tag FROM folded),
-        located AS (SELECT tagged.*, lat, lon FROM tagged JOIN at USING (name) WHERE tag <> 'CAMP' AND tag <> 'CONTINENT')"""
+        located AS (SELECT tagged.*, lat, lon FROM tagged JOIN spots USING (name) WHERE tag <> 'CAMP' AND tag <> 'CONTINENT')"""
     label = "['positive', 'Negative ', 'neutral', 'odd'][event_id % 4 + 1]"
     felt = "['joy', 'FEAR', 'odd', 'anger'][event_id % 4 + 1]"
     category = f"""CASE WHEN n >= greatest(2, floor(0.4 * max(n) OVER (PARTITION BY "fileId"))) OR (len(who) > 0 AND coalesce(place, '') <> '') THEN 'major' ELSE 'minor' END"""
@@ -214,7 +214,7 @@ def queries(
         "sentiment_rule": _sentiment(affect.POSITIVE, affect.NEGATIVE),
         "sentiment_own_words": _sentiment(positive, negative),
         "sentiment_by_lang": f"""WITH worded AS (SELECT lang, {_TOKENS} AS w FROM documents), counted AS (SELECT lang, {_counts(positive, negative)} FROM worded)
-            SELECT lang, {_LABEL} AS label, count(*) AS n, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, round(avg(tanh((pos - neg) / 3.0)), 6) AS score
+            SELECT lang, {_LABEL} AS label, count(*) AS n, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, round(avg(round(tanh((pos - neg) / 3.0), 6)), 4) AS score
             FROM counted GROUP BY 1, 2""",
         "emotion_rule": f"""WITH {_SEGMENTS}, {_emotion(affect.EMOTION_WORDS)} SELECT doc_id, "segId", label, round(score, 6) AS score, round(signed, 6) AS signed FROM felt""",
         "emotion_signed": f"""WITH {_SEGMENTS}, {_emotion(emotions)} SELECT doc_id, "segId", label, round(score, 6) AS score, round(signed, 6) AS signed FROM felt""",
@@ -226,7 +226,7 @@ def queries(
             SELECT doc_id, "segId", 'Sentiment suggests *' || {_LABEL} || '* tone.' || CASE WHEN label <> 'neutral' THEN ' Dominant emotion appears to be *' || label || '*.' ELSE '' END AS interpretation
             FROM felt JOIN c2 USING (doc_id, "segId")""",
         "themes": f"SELECT doc_id, array_to_string(list_filter([{theme}], lambda x: x IS NOT NULL), ',') AS themes FROM documents",
-        "annotate_gazetteer": f"""WITH {_SEGMENTS}, {_matches(terms)} SELECT doc_id, "segId", e.at::INT AS start_char, e.token AS token, e.tag AS tag FROM folded""",
+        "annotate_gazetteer": f"""WITH {_SEGMENTS}, {_matches(terms)} SELECT doc_id, "segId", e.o::INT AS start_char, e.token AS token, e.tag AS tag FROM folded""",
         "entity_label_counts": f"WITH {_SEGMENTS}, {_matches(terms)} SELECT e.tag AS tag, count(*) AS n, count(DISTINCT doc_id) AS docs FROM folded GROUP BY 1",
         "classify_places": f"WITH w AS ({words('documents')}) SELECT name, count(*) AS n, CASE {classes} ELSE 'PLACE' END AS class FROM w GROUP BY name",
         "ambiguous_names": f"WITH w AS ({words('documents')}) SELECT name, count(*) AS n FROM w WHERE name IN {_among(known['AMBIGUOUS-CITY'])} GROUP BY name",
@@ -255,7 +255,7 @@ def queries(
             met AS (SELECT e.*, label, signed FROM each_ e JOIN felt USING (doc_id)),
             ranked AS (SELECT "fileId", event, label, row_number() OVER (PARTITION BY "fileId", event ORDER BY count(*) DESC, min(pos)) AS nth FROM met GROUP BY 1, 2, 3),
             meant AS (SELECT "fileId", event, avg(signed) AS v FROM met GROUP BY 1, 2)
-            SELECT "fileId", event, label AS emotion, round(v, 6) AS emotion_valence FROM ranked JOIN meant USING ("fileId", event) WHERE nth = 1""",
+            SELECT "fileId", event, label AS emotion, round(v, 6) + 0.0 AS emotion_valence FROM ranked JOIN meant USING ("fileId", event) WHERE nth = 1""",
         "people_flatten": f"""WITH {_events(names)} SELECT "fileId", event, {category} AS category, coalesce(place, '') AS place, coalesce(date, '') AS date,
             array_to_string(who, ', ') AS people FROM events""",
         "witness_infer": rf"""WITH {_SENTS} SELECT doc_id, CASE WHEN bool_or(regexp_matches(text,
@@ -268,7 +268,7 @@ def queries(
             SELECT a.node AS u, b.node AS v, count(*) AS w FROM spread a JOIN spread b ON a.centre = b.centre AND a.node < b.node GROUP BY 1, 2""",
         "geojson_features": f"WITH {located} SELECT name, tag, count(*) AS n, min(lon) AS lon, min(lat) AS lat FROM located GROUP BY 1, 2",
         "place_centroid": f"WITH {located} SELECT round(coalesce(avg(lat), 0), 6) AS lat, round(coalesce(avg(lon), 0), 6) AS lon FROM located",
-        "export_flatten_json": f"""WITH {_SEGMENTS}, {_matches(terms)} SELECT doc_id, "segId", to_json(list({{'token': e.token, 'tag': e.tag}} ORDER BY e.at))::VARCHAR AS entities FROM folded GROUP BY 1, 2""",
+        "export_flatten_json": f"""WITH {_SEGMENTS}, {_matches(terms)} SELECT doc_id, "segId", to_json(list({{'token': e.token, 'tag': e.tag}} ORDER BY e.o))::VARCHAR AS entities FROM folded GROUP BY 1, 2""",
         "llm_parse_sentiment": f"""SELECT event_id, CASE WHEN lower(trim({label})) IN ('positive', 'negative') THEN lower(trim({label})) ELSE 'neutral' END AS label,
             CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 4 < 2 THEN 0.7 ELSE 0.5 END ELSE round(least(1.0, (event_id % 13) / 10.0), 6) END::DOUBLE AS score FROM events""",
         "llm_parse_emotion": f"""WITH p AS (SELECT event_id, CASE WHEN lower({felt}) = 'odd' THEN 'neutral' ELSE lower({felt}) END AS label,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import glob as globbing
+import json
 import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtext.schemas import ANNOTATION, ENTITIES, REQUIRED, VERBS, conformed
 
@@ -110,9 +112,6 @@ def load_annotations(spark: SparkSession, path: str, fmt: str | None = None, ens
     if kind in ("json", "jsonl"):
         # ``sent-id`` is the name outside, ``sent_id`` the one inside
         outside = ANNOTATION.json().replace("sent_id", "sent-id")
-        from pyspark.sql.types import StructType
-        import json
-
         there = spark.read.option("multiLine", kind == "json").json(path).columns
         df = spark.read.schema(StructType.fromJson(json.loads(outside))).option("multiLine", kind == "json").json(path)
         df = df.withColumn("verb_data", F.col("verb_data").cast(VERBS))

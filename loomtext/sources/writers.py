@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -59,14 +60,9 @@ def map_page(features: DataFrame, centre: Mapping[str, float] | None = None) ->
     rows = features.select("name", "tag", "lat", "lon").collect()
     lat = centre["lat"] if centre else (sum(r["lat"] for r in rows) / len(rows) if rows else 0.0)
     lon = centre["lon"] if centre else (sum(r["lon"] for r in rows) / len(rows) if rows else 0.0)
-    import html
-
     points = "".join(
         f'<circle cx="{r["lon"]:.5f}" cy="{-r["lat"]:.5f}" r="1"><title>{html.escape(str(r["name"]))} ({html.escape(str(r["tag"]))})</title></circle>'
         for r in rows
     )
     return f'<!doctype html><meta charset="utf-8"><svg viewBox="{lon - 60:.3f} {-lat - 30:.3f} 120 60">{points}</svg>'
 
-
-def empty_for_null(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))
