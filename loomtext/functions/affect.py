@@ -34,7 +34,8 @@ EMOTION = "struct<label:string,score:double,signed:double,distribution:map<strin
 
 
 def clamp(value: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """The value held between the limits; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def polarity_counts(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:

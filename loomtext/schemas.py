@@ -4,26 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 ENTITIES = "array<struct<start_char:int,token:string,tag:string>>"
 VERBS = "array<struct<sent_id:int,verb:string,subject:string,object:string,sentence:string>>"
 
-ANNOTATION = StructType.fromDDL(
-    f"""file string, fileId string, segId int, segCount int, entities {ENTITIES}, verb_data {VERBS},
-    text string, error string, role string, turnId int, qaPairId int, isQuestion boolean, isAnswer boolean,
-    sentiment_label string, sentiment_score double, emotion_label string, emotion_score double,
-    emotion_dist map<string,double>, summary string, interpretation string, themes array<string>"""
+
+def _row(**columns: DataType) -> StructType:
+    """A schema; no session is needed to state it."""
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+_TEXT, _INT, _REAL, _FLAG, _TEXTS = StringType(), IntegerType(), DoubleType(), BooleanType(), ArrayType(StringType())
+ANNOTATION = _row(
+    file=_TEXT,
+    fileId=_TEXT,
+    segId=_INT,
+    segCount=_INT,
+    entities=ArrayType(_row(start_char=_INT, token=_TEXT, tag=_TEXT)),
+    verb_data=ArrayType(_row(sent_id=_INT, verb=_TEXT, subject=_TEXT, object=_TEXT, sentence=_TEXT)),
+    text=_TEXT,
+    error=_TEXT,
+    role=_TEXT,
+    turnId=_INT,
+    qaPairId=_INT,
+    isQuestion=_FLAG,
+    isAnswer=_FLAG,
+    sentiment_label=_TEXT,
+    sentiment_score=_REAL,
+    emotion_label=_TEXT,
+    emotion_score=_REAL,
+    emotion_dist=MapType(_TEXT, _REAL),
+    summary=_TEXT,
+    interpretation=_TEXT,
+    themes=_TEXTS,
 )
 #: Columns that a loaded annotation table always has.
 REQUIRED = ("file", "fileId", "segId", "segCount", "entities", "verb_data", "text", "error")
-EVENT = StructType.fromDDL(
-    """fileId string, eventId string, event string, sources array<int>, evidence array<string>, category string,
-    place string, date string, persons array<string>, others array<string>, emotion string, emotion_valence double,
-    confidence double, count_mentions int"""
+EVENT = _row(
+    fileId=_TEXT,
+    eventId=_TEXT,
+    event=_TEXT,
+    sources=ArrayType(_INT),
+    evidence=_TEXTS,
+    category=_TEXT,
+    place=_TEXT,
+    date=_TEXT,
+    persons=_TEXTS,
+    others=_TEXTS,
+    emotion=_TEXT,
+    emotion_valence=_REAL,
+    confidence=_REAL,
+    count_mentions=_INT,
 )
-QA_PAIR = StructType.fromDDL("fileId string, pairId int, q_speaker string, q_text string, a_speaker string, a_text string")
-EDGE = StructType.fromDDL("u string, v string, w bigint")
+QA_PAIR = _row(fileId=_TEXT, pairId=_INT, q_speaker=_TEXT, q_text=_TEXT, a_speaker=_TEXT, a_text=_TEXT)
+EDGE = _row(u=_TEXT, v=_TEXT, w=LongType())
 
 
 def conformed(df: DataFrame, schema: StructType, missing: dict[str, Column] | None = None) -> DataFrame:
