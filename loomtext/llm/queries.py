@@ -75,7 +75,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (SELECT vec_id, {_UNIT} AS v FROM embeddings),
         ranked AS (
             SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {_COSINE} AS similarity,
-                   row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) AS rank
+                   (row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id))::INT AS rank
             FROM v a JOIN v b ON a.vec_id <> b.vec_id)
         SELECT query_id, rank, neighbor_id, similarity FROM ranked WHERE rank <= 10""",
     "op4_mixing": f"""
