@@ -41,6 +41,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has so few rows; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hash60(*columns: Column) -> Column:
     """60 bits of the MD5 of the columns' text, as a bigint; the same in any SQL engine."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
