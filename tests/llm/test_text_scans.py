@@ -200,3 +200,20 @@ def test_score_by_join_equals_score_by_column(spark):
     a = {r["doc_id"]: r["toxicity"] for r in toxicity.score_documents(docs, lexicon).collect()}
     b = {r["doc_id"]: r["toxicity"] for r in toxicity._scored_by_join(docs.drop("toxicity"), lexicon, "toxicity").collect()}
     assert a == b and a[901] == 3.0
+
+
+def test_rare_and_null_languages_have_toxic_documents_too(spark):
+    rows, labels = polluted()
+    clean = [(i + 2000, t, "xx" if i % 2 else None) for i, t in rows if i % 6][:40]
+    few = [(1000, rows[1][1] + " " + TOXIC, "xx"), (1001, rows[2][1] + " " + TOXIC, None), (1002, TOXIC, "yy")]
+    docs = docs_of(spark, [*rows, *clean, *few])
+    known = spark.createDataFrame([*labels, (1000, 1), *[(i, 0) for i, _, _ in clean[:20]]], "doc_id bigint, toxic int")
+    bad = {i for i, _ in rows if i % 6 == 0} | {1000, 1001, 1002}
+    assert {r["doc_id"] for r in toxicity.toxic_documents(docs, known).collect()} == bad
+
+
+def test_each_language_has_its_own_label_sample(spark):
+    docs = docs_of(spark, [*[(i, "a") for i in range(50)], *[(100 + i, "a", "xx") for i in range(3)], (200, "a", None)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, toxic int")
+    sample = toxicity._label_sample(docs, known, 2)
+    assert len(sample) == 5 and sum(i < 50 for i in sample) == 2 and 200 in sample
