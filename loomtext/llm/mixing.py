@@ -27,23 +27,37 @@ def _totals(items: DataFrame) -> dict[str, int]:
     return {r["source"]: int(r["tokens"]) for r in rows}
 
 
+def _level(totals: Mapping[str, int], share: Mapping[str, float], keep: float) -> float:
+    """The size at which sources that give their share of it, or all they have, give ``keep`` of all tokens."""
+    target, rest, level = keep * sum(totals[s] for s in share), sum(share.values()), 0.0
+    for s in sorted(share, key=lambda x: (totals[x] / share[x], x)):
+        level = totals[s] / share[s]
+        if level * rest >= target:
+            return target / rest
+        target, rest = target - totals[s], rest - share[s]
+    return level
+
+
 def plan_budgets(
     totals: Mapping[str, int],
     weights: Mapping[str, float] | None,
     fractions: Sequence[float],
     alpha: float,
+    keep: float = 0.0,
 ) -> list[tuple[str, int, int]]:
     """(source, tier, budget) for each source and nested budget.
 
     The largest mix is the one in which some source is used up and every source
     has its weight; tier t gets ``fractions[t]`` of it. Without ``weights`` a
     source weighs ``tokens ** alpha``. A source without weight gets nothing.
+    The mix grows to ``keep`` of the tokens of weighted sources where it is
+    smaller: used-up sources give all they have and the others, by weight, the rest.
     """
     raw = {s: (weights.get(s, 0.0) if weights is not None else n**alpha if n else 0.0) for s, n in totals.items()}
     whole = sum(raw.values())
     share = {s: w / whole for s, w in raw.items() if w > 0 and whole > 0}
     usable = [totals[s] / w for s, w in share.items() if totals[s] > 0]
-    most = min(usable) if usable else 0.0
+    most = max(min(usable), _level(totals, share, keep)) if usable else 0.0
     return [
         (s, t, min(totals[s], int(most * w * f + 1e-9)))
         for s, w in sorted(share.items())
@@ -149,11 +163,13 @@ def sample_to_weights(
     weights: Mapping[str, float] | None = None,
     fraction: float = 1.0,
     alpha: float = 0.7,
+    keep: float = 0.0,
 ) -> DataFrame:
     """The rows of ``docs`` in one mix, all columns as they were.
 
     The texts are not moved: a second scan compares each row's hash with its
-    source's threshold. Defined cases are those of :func:`mix_sources`.
+    source's threshold. ``keep`` is that of :func:`plan_budgets`; defined cases are
+    those of :func:`mix_sources`.
     """
     items = cut(
         docs.select(
@@ -163,7 +179,7 @@ def sample_to_weights(
         ),
         "mix-items",
     )
-    found = hash_thresholds(items, plan_budgets(_totals(items), weights, [fraction], alpha))
+    found = hash_thresholds(items, plan_budgets(_totals(items), weights, [fraction], alpha, keep))
     limits = found.select(F.col("source").alias("__mix_source"), F.col("threshold").alias("__mix_limit"))
     return (
         docs.join(

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from loomtext.llm import mixing, packing, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, tokens string, tier string, hash string"
@@ -134,3 +135,19 @@ def test_configurations_cover_the_demand():
 
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([(1, 10), (2, 4)], [3, 9, 5], 20, 100) == [2, 1, 100]
+
+
+def test_a_tiny_or_hot_source_does_not_cut_the_others():
+    even = {f"s{i}": 1_000_000 for i in range(8)}
+    for totals in (even | {"": 5}, even | {"rare": 1000}, even | {"hot": 50_000_000}, {"a": 7}):
+        given = {s: b for s, _, b in mixing.plan_budgets(totals, None, [1.0], 0.7, 0.9)}
+        whole = sum(totals.values())
+        assert sum(given.values()) >= 0.9 * whole - len(totals) and all(given[s] <= totals[s] for s in totals)
+    assert mixing.plan_budgets({"a": 10, "b": 10}, {"a": 1.0, "b": 3.0}, [1.0], 0.7, 0.5) == [("a", 0, 3), ("b", 0, 10)]
+    assert mixing.plan_budgets({"a": 10, "b": 10}, {"a": 1.0, "b": 3.0}, [1.0], 0.7, 0.9) == [("a", 0, 8), ("b", 0, 10)]
+
+
+def test_the_pipeline_keeps_clean_documents_beside_a_null_source(spark):
+    rows = [(i, "w " * 50, f"s{i % 4}") for i in range(400)]
+    docs = docs_of(spark, [*rows, (1000, "a b c d e", None)])
+    assert corpus_pipeline.mix(spark, docs, "").count() >= 350
