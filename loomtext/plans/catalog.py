@@ -239,6 +239,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select("doc_id", "segId", names.alias("node"))
 
 
+def _all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All capitalised words in segments stand for entities."""
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1))))
+    return _segments(spark, sf_dir).select("doc_id", "segId", names.alias("node"))
+
+
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).groupBy("doc_id").agg(F.min("segId").alias("low"), F.max("segId").alias("high"))
 
@@ -253,9 +259,25 @@ def cooccurrence_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over the whole list of segments, across documents."""
+    return _across(spark, sf_dir, _nodes(spark, sf_dir))
+
+
+def cooccurrence_names_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_all_nodes(spark, sf_dir), 0, "doc_id", sizes=_bounds(spark, sf_dir))
+
+
+def cooccurrence_names_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_all_nodes(spark, sf_dir), 1, "doc_id", sizes=_bounds(spark, sf_dir))
+
+
+def cooccurrence_names_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _across(spark, sf_dir, _all_nodes(spark, sf_dir))
+
+
+def _across(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
     every = graph.global_ordinals(_segments(spark, sf_dir), "doc_id")
     bounds = every.agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
-    found = _nodes(spark, sf_dir).join(every, ["doc_id", "segId"]).select("ordinal", "node")
+    found = nodes.join(every, ["doc_id", "segId"]).select("ordinal", "node")
     return graph.cooccurrence(found, 1, None, "ordinal", bounds)
 
 
@@ -343,7 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         emotion_signed, emotion_distribution, summary_truncate, interpretation, themes, annotate_gazetteer, entity_label_counts, classify_places,
         ambiguous_names, line_roles, line_roles_strict, is_question, turn_merge, testimony_segments, conversation_pairs, qa_pairs, qa_pairs_documents,
         event_mentions, event_aggregate, event_major_minor, event_emotion_mode, people_flatten, witness_infer, cooccurrence_w0, cooccurrence_w1,
-        cooccurrence_across, geojson_features, place_centroid, export_flatten_json, llm_parse_sentiment, llm_parse_emotion, semantic_dedupe,
+        cooccurrence_across, cooccurrence_names_w0, cooccurrence_names_w1, cooccurrence_names_across, geojson_features, place_centroid, export_flatten_json, llm_parse_sentiment, llm_parse_emotion, semantic_dedupe,
         annotation_records, gazetteer_labels, texts_list, speaker_turn_counts,
     )
 }

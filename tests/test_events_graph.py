@@ -2,11 +2,13 @@
 
 import json
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomtext.functions import responses
+from loomtext.plans import catalog
 from loomtext.operators import events, frames, graph
 from loomtext.sources import writers
 
@@ -153,3 +155,21 @@ def test_model_answers(spark):
     assert got[:4] == [("positive", 1.0), ("negative", 0.7), ("neutral", 0.5), ("neutral", 0.0)] and got[4] == ("neutral", 0.5)
     felt = [r[0] for r in df.select(responses.parsed_emotion(F.col("raw"))).collect()]
     assert felt[5]["label"] == "joy" and felt[5]["score"] == 0.5 and felt[0]["label"] == "neutral"
+
+
+def test_cooccurrence_of_all_names(spark, tmp_path):
+    texts = [(1, "Maria met Jo. Then Anselm left Warsaw."), (2, "Jo saw Maria and Anselm."), (3, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    segs = {}
+    for r in catalog._segments(spark, str(tmp_path)).collect():
+        segs.setdefault(r["doc_id"], {})[r["segId"]] = set(re.findall("[A-Z][a-z]+", r["text"] or ""))
+    for w, query in ((0, catalog.cooccurrence_names_w0), (1, catalog.cooccurrence_names_w1)):
+        want = {}
+        for own in segs.values():
+            for i in own:
+                bag = sorted(set().union(*[own.get(j, set()) for j in range(i - w, i + w + 1)]))
+                for a, u in enumerate(bag):
+                    for v in bag[a + 1 :]:
+                        want[u, v] = want.get((u, v), 0) + 1
+        assert {(r["u"], r["v"]): r["w"] for r in query(spark, str(tmp_path)).collect()} == want
+        assert ("Anselm", "Maria") in want
