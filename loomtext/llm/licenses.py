@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 
 class Template(NamedTuple):
-    """A licence notice and the phrases without which it isn't that licence."""
+    """A licence notice and the phrases without which it isn't that licence; ``named``: one phrase alone names it in full."""
 
     license: str
     text: str
     phrases: tuple[str, ...]
+    named: bool = True
 
 
 #: Public notices: short lines as authors write them, and the standard headers.
@@ -61,7 +62,7 @@ TEMPLATES: tuple[Template, ...] = (
     Template("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0", ("cc by nc nd 4 0",)),
     Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0 international",)),
     Template("CC0-1.0", "Licensed under CC0 1.0 Universal", ("cc0 1 0 universal",)),
-    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",), False),
     Template("Unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
@@ -82,6 +83,10 @@ class Index:
         self.phrases = [[p.split() for p in x.phrases] for x in templates]
         self.postings: dict[str, list[tuple[int, int]]] = {}
         self.needed: list[int] = []
+        self.names: dict[str, list[int]] = {}
+        for k, own in enumerate(self.phrases):
+            if len(own) == 1 and templates[k].named:
+                self.names.setdefault(own[0][0], []).append(k)
         for k, tokens in enumerate(self.tokens):
             rare = sorted(set(tokens), key=lambda t: (-idf.get(t, math.inf), t))[:anchors]
             # a template's phrases name its licence, so one of their tokens is always an anchor
@@ -116,6 +121,13 @@ class Index:
             if all(b <= x or a >= y for x, y in taken):
                 taken.append((a, b))
                 out.append((self.templates[k].license, found_tokens[a][1], found_tokens[b - 1][2], round(share, 4)))
+        # a licence that is named in full counts in any wording about it
+        for p, w in enumerate(words):
+            for k in self.names.get(w, ()):
+                b = p + len(self.phrases[k][0])
+                if words[p:b] == self.phrases[k][0] and all(b <= x or p >= y for x, y in taken):
+                    taken.append((p, b))
+                    out.append((self.templates[k].license, found_tokens[p][1], found_tokens[b - 1][2], round((b - p) / len(self.tokens[k]), 4)))
         return sorted(out, key=lambda x: x[1])
 
 
@@ -146,7 +158,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, an
     its ``anchors`` rarest words and their positions. A file's own such words
     are looked up; where two or more agree on the position of a template, the
     share of its tokens that stand in their places must reach ``least``, and all
-    of its key phrases must be there word for word. Where notices overlap, the
+    of its key phrases must be there word for word. A licence's full name counts
+    by itself in other wordings; its row has the name only. Where notices overlap, the
     one with more matching tokens stands. Only texts with a word that some key
     phrase needs are looked at closer.
 

@@ -217,3 +217,17 @@ def test_each_language_has_its_own_label_sample(spark):
     known = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, toxic int")
     sample = toxicity._label_sample(docs, known, 2)
     assert len(sample) == 5 and sum(i < 50 for i in sample) == 2 and 200 in sample
+
+
+def test_licences_named_in_other_wordings():
+    index = licenses.Index(licenses.TEMPLATES, {}, 4)
+    wordings = {
+        "Licensed under the terms of the Apache License, Version 2.0": "Apache-2.0",
+        "This code is available under Apache License, Version 2.0": "Apache-2.0",
+        "Licensed under the terms of the GNU General Public License, version 3": "GPL-3.0",
+        "This project uses the MIT License": "MIT",
+        "MIT License": "MIT",
+    }
+    for text, license in wordings.items():
+        assert [x[0] for x in index.scan(f"{FILL}{text}. {FILL}", 0.8)] == [license], text
+    assert not index.scan("the license of MIT and the Apache version", 0.8)
