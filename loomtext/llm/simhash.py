@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import cut, words_of
+from loomtext.llm.common import bitmap_of, cut, may_be_among, scratch, type_of, words_of
+from loomtext.llm.groups import components
 
 BITS = 128
 #: Buckets of the document-frequency table; its size is the same for any corpus.
 DF_BUCKETS = 1 << 16
 CHUNK_CHARS = 2_000_000
+#: Bits of the filter of documents that go; its size is the same for any corpus.
+GONE_BITS = 1 << 26
 
 
 def _bucket(word: str) -> int:
@@ -115,9 +118,7 @@ def fingerprints(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 names=["doc_id", "high", "low"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, high bigint, low bigint"
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, high bigint, low bigint")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -206,34 +207,6 @@ def _match(radius: int):
     return run
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that edges (a, b) lead to, for every end of an edge.
-
-    Alternates large-star and small-star steps, each a groupBy, until the sum of
-    the edges stops changing; the number of rounds grows as the logarithm of the
-    longest path. Each round's edges are a written table.
-    """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = None
-    while True:
-        near = both(edges).groupBy("a").agg(F.array_distinct(F.collect_list("b")).alias("near"))
-        large = near.select(
-            F.explode(F.filter("near", lambda x: x > F.col("a"))).alias("a"),
-            F.least(F.array_min("near"), F.col("a")).alias("b"),
-        )
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        below = down.groupBy("a").agg(F.collect_list("b").alias("near"))
-        low = F.array_min("near")
-        small = below.select(
-            F.explode(F.concat(F.filter("near", lambda x: x != low), F.array("a"))).alias("a"), low.alias("b")
-        )
-        edges = cut(small.where("a <> b").distinct(), "component-edges")
-        summed = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if summed == state or summed[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = summed
-
-
 def near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
     """(doc_id, kept_id): each document of a group of near-duplicates but the one that stays.
 
@@ -245,23 +218,25 @@ def near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
     found, and no other passes the check of the complete distance. Groups are
     the connected components; the least doc_id of a group stays.
 
-    A document without words (null, empty, marks or digits only) is no one's
-    duplicate. Repeated rows with one doc_id count as one document. A null
+    Words are runs of letters, so a text without blanks between words has one a run of its
+    script and meets only texts that repeat its runs. A document without words (null, empty, marks or digits only) is no one's
+    duplicate. An id may be of any type with an order. Repeated rows with one doc_id count as one document. A null
     doc_id can't be named and is not compared. Texts of the same words, in any
     order or case, have one fingerprint. Other columns are not read. An empty
     table gives no rows.
     """
     docs = docs.where("doc_id is not null")
-    prints = cut(fingerprints(docs, document_weights(docs)), "fingerprints")
-    distinct = cut(prints.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    sorted_keys = _ball_keys(distinct, segments)
-    sorted_keys = sorted_keys.repartition("key").sortWithinPartitions("key")
-    near = sorted_keys.mapInArrow(
-        _match(3 * segments - 1), "high_a bigint, low_a bigint, high_b bigint, low_b bigint"
-    ).distinct()
-    side = lambda x: distinct.select(F.col("high").alias(f"high_{x}"), F.col("low").alias(f"low_{x}"), F.col("first").alias(x))
-    edges = cut(near.join(side("a"), ["high_a", "low_a"]).join(side("b"), ["high_b", "low_b"]).select("a", "b"), "near-pairs")
-    roots = _components(distinct, edges)
+    with scratch(docs.sparkSession) as folder:
+        prints = cut(fingerprints(docs, document_weights(docs)), "fingerprints")
+        distinct = cut(prints.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+        sorted_keys = _ball_keys(distinct, segments)
+        sorted_keys = sorted_keys.repartition("key").sortWithinPartitions("key")
+        near = sorted_keys.mapInArrow(
+            _match(3 * segments - 1), "high_a bigint, low_a bigint, high_b bigint, low_b bigint"
+        ).distinct()
+        side = lambda x: distinct.select(F.col("high").alias(f"high_{x}"), F.col("low").alias(f"low_{x}"), F.col("first").alias(x))
+        edges = cut(near.join(side("a"), ["high_a", "low_a"]).join(side("b"), ["high_b", "low_b"]).select("a", "b"), "near-pairs", folder)
+        roots = cut(components(edges, folder), "roots")
     return (
         prints.join(distinct, ["high", "low"])
         .join(roots, F.col("first") == roots["node"], "left")
@@ -274,8 +249,14 @@ def near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of the least doc_id.
 
-    Columns are as they were. Rows that share a doc_id are one document: they
-    stay or go together. Other cases as in :func:`near_duplicates`.
+    Columns are as they were and may have any names. Rows that share a doc_id are one document: they
+    stay or go together. A row without a doc_id stays. Only rows that a bitmap of fixed size
+    can't tell from duplicates are shuffled. Other cases as in :func:`near_duplicates`.
     """
-    gone = near_duplicates(docs, segments).select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    gone = cut(near_duplicates(docs, segments).select(F.col("doc_id").alias("id")), "gone-documents")
+    may = may_be_among(docs.sparkSession, bitmap_of(gone.select(F.xxhash64("id").alias("hash")), "hash", GONE_BITS))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = f"c{docs.columns.index('doc_id')}"
+    marked = docs.toDF(*names).withColumn("may", may(F.xxhash64(own)))
+    held = marked.where("may").join(gone, F.col(own) == F.col("id"), "left_anti")
+    return marked.where("not may").select(*names).unionByName(held.select(*names)).toDF(*docs.columns)
