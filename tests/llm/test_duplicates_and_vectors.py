@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomtext.llm import simhash, vectors
+from loomtext.llm import groups, queries, simhash, vectors
 
 DOCS = "doc_id bigint, text string, lang string, source string, high string, key string"
 
@@ -93,14 +95,17 @@ def unit(rows, d=16):
     return [(i, v / np.linalg.norm(v)) for i, v in keep if np.isfinite(v).all() and v.any()]
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize("asked", [None, "vec_id % 5 = 0"])
+def test_top_k_is_exact(spark, asked):
     rows = points()
     known = unit(rows)
     got = {}
-    for r in vectors.exact_top_k(table(spark, rows), k=5, fan_in=2).collect():
+    for r in vectors.exact_top_k(table(spark, rows), k=5, fan_in=2, asked=asked and F.expr(asked)).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"], r["similarity"]))
     want = {}
     for a, (i, v) in enumerate(known):
+        if asked and i % 5:
+            continue
         order = sorted(((-round(float(v @ w), 6), j) for b, (j, w) in enumerate(known) if b != a))[:5]
         want.setdefault(i, []).extend((n, j, -s) for n, (s, j) in enumerate(order, 1))
     assert set(got) == set(want)
@@ -109,23 +114,71 @@ def test_top_k_is_exact(spark):
         assert sorted(j for _, j, _ in got[i]) == sorted(j for _, j, _ in want[i])
 
 
-def test_near_vectors_are_exact(spark):
-    rows = points()
-    known = unit(rows)
-    want = {}
-    for i, v in known:
-        for j, w in known:
-            s = round(float(v @ w), 6)
-            if i < j and s >= 0.98:
-                want[i, j] = max(s, want.get((i, j), -1))
-    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in vectors.near_vectors(table(spark, rows)).collect()}
-    assert got.keys() == want.keys() and (5, 300) in got and len(got) > 20
-    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+def brute_classes(known, least):
+    """(id, class, links) of distinct (id, vector) items."""
+    items = list({(i, v.tobytes()): (i, v) for i, v in known}.values())
+    near = [[b for b, (_, w) in enumerate(items) if b != a and round(float(v @ w), 6) >= least] for a, (_, v) in enumerate(items)]
+    out = []
+    for a, (i, _) in enumerate(items):
+        seen, todo = {a}, [a]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        out.append((i, min(items[b][0] for b in seen), len(near[a])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("tile", [None, 7])
+def test_near_vector_classes_are_exact(spark, monkeypatch, tile):
+    if tile:
+        monkeypatch.setattr(vectors, "TILE_ROWS", tile)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    group = [(400 + i, [float(np.float32(x)) for x in centre + rng.normal(size=16) * 0.06]) for i in range(40)]
+    rows = points() + group + [(500 + i, group[0][1]) for i in range(9)]
+    got = sorted((r["vec_id"], r["class_id"], r["links"]) for r in vectors.near_vector_classes(table(spark, rows)).collect())
+    want = brute_classes(unit(rows), 0.98)
+    assert got == want
+    assert sum(n > 0 for _, _, n in want) > 80 and len({c for _, c, n in want if n}) > 10
+
+
+def test_the_registered_query_on_planted_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64))
+    rows = [(i, v) for i, v in enumerate(base)] + [(1000 + i, base[i] + rng.normal(size=64) * 0.1) for i in range(120)]
+    rows += [(2000 + i, rows[300 + i][1] + rng.normal(size=64) * 0.1) for i in range(60)] + [(3000, base[299]), (3001, base[299])]
+    table(spark, [(i, [float(x) for x in v]) for i, v in rows]).select("vec_id", "embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("op3_topk", "op7_embedding_dedup"):
+        with duckdb.connect() as sql:
+            sql.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+            want = sql.sql(queries.ORACLE_SQL[name])
+            columns, want = want.columns, sorted(want.fetchall())
+        got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+        assert got == want
+    assert sum(r[columns.index("links")] > 0 for r in got) > 200
+
+
+def test_one_class_may_hold_everything(spark):
+    rows = [(i, [1.0, i * 1e-4, 0.0]) for i in range(200)]
+    got = vectors.near_vector_classes(table(spark, rows)).collect()
+    assert {(r["class_id"], r["links"]) for r in got} == {(0, 199)}
+
+
+@pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(3, 9), (9, 4), (7, 8), (4, 3)]])
+def test_components(spark, links):
+    root = {x: x for pair in links for x in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = groups.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: r for x, r in root.items() if x != r}
 
 
 def test_no_vectors(spark):
     assert vectors.exact_top_k(table(spark, [])).count() == 0
-    assert vectors.near_vectors(table(spark, [(1, None)])).count() == 0
+    assert vectors.near_vector_classes(table(spark, [(1, None)])).count() == 0
+    assert [tuple(r) for r in vectors.near_vector_classes(table(spark, [(1, [1.0, 2.0])])).collect()] == [(1, 1, 0)]
     assert vectors.exact_top_k(table(spark, [(1, [1.0, 2.0])])).count() == 0
 
 
