@@ -7,8 +7,9 @@ libraries raise an error that names them.
 from __future__ import annotations
 
 import importlib
+import os
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cache
 from typing import Any
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import affect, responses
+from loomtext.functions.text import let
+from loomtext.operators import parsing
 from loomtext.schemas import ENTITIES, VERBS
 
 SENTIMENT_PROMPT = (
@@ -34,6 +37,10 @@ EVENT_PROMPT = (
 )
 
 
+#: Words of a text that a classifier gets at once.
+WINDOW_WORDS = 250
+
+
 class MissingLibrary(RuntimeError):
     pass
 
@@ -57,6 +64,8 @@ def llm_answers(answer: Callable[[list[str]], list[str]], prompt: str = "", paus
             asked = [prompt + (t or "") for t in texts]
             try:
                 told = list(answer(asked)) if asked else []
+            except MissingLibrary:
+                raise
             except Exception:  # noqa: BLE001
                 told = [None] * len(asked)
             if pause_s:
@@ -68,12 +77,25 @@ def llm_answers(answer: Callable[[list[str]], list[str]], prompt: str = "", paus
 
 def llm_sentiment(answer: Callable[[list[str]], list[str]], pause_s: float = 0.0) -> Callable[[Column], Column]:
     ask = llm_answers(answer, SENTIMENT_PROMPT, pause_s)
-    return lambda text: responses.parsed_sentiment(ask(text))
+
+    def told(p: Column) -> Column:
+        return F.struct(p["label"].alias("label"), p["score"].alias("score"), affect.signed_from_top(p["label"], p["score"]).alias("signed"))
+
+    return lambda text: let(responses.parsed_sentiment(ask(text)), told)
 
 
-def llm_emotion(answer: Callable[[list[str]], list[str]], pause_s: float = 0.0) -> Callable[[Column], Column]:
+def llm_emotion(
+    answer: Callable[[list[str]], list[str]], pause_s: float = 0.0, return_distribution: bool = True
+) -> Callable[[Column], Column]:
     ask = llm_answers(answer, EMOTION_PROMPT, pause_s)
-    return lambda text: responses.parsed_emotion(ask(text))
+
+    def told(p: Column) -> Column:
+        shares = p["distribution"] if return_distribution else F.lit(None).cast("map<string,double>")
+        from_top = affect.emotion_signed_from_top(p["label"], p["score"])
+        signed = F.when(p["distribution"].isNotNull(), affect.emotion_signed_from_distribution(p["distribution"])).otherwise(from_top)
+        return F.struct(p["label"].alias("label"), p["score"].alias("score"), signed.alias("signed"), shares.alias("distribution"))
+
+    return lambda text: let(responses.parsed_emotion(ask(text)), told)
 
 
 def event_prompt(event: Column, place: Column, date: Column, persons: Column, others: Column) -> Column:
@@ -130,12 +152,23 @@ def chat_client(
 
 
 def _classifier(model: str) -> Callable[[Column], Column]:
+    """Scores of a text over all its windows of WINDOW_WORDS words, each weighed by its words; no text is cut."""
+
     @F.pandas_udf("map<string,double>")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pipe = needed("transformers").pipeline("text-classification", model=model, top_k=None)
         for texts in batches:
-            found = pipe([t or "" for t in texts], truncation=True)
-            yield pd.Series([{x["label"].lower(): float(x["score"]) for x in row} for row in found])
+            out = []
+            for words in ((t or "").split() for t in texts):
+                parts = [words[a : a + WINDOW_WORDS] for a in range(0, len(words), WINDOW_WORDS)] or [[]]
+                found = pipe([" ".join(p) for p in parts], truncation=True)
+                mean: dict[str, float] = {}
+                for part, row in zip(parts, found):
+                    for x in row:
+                        label = x["label"].lower()
+                        mean[label] = mean.get(label, 0.0) + float(x["score"]) * (len(part) or 1) / (len(words) or 1)
+                out.append(mean)
+            yield pd.Series(out)
 
     return scores
 
@@ -223,11 +256,111 @@ def parser_backend(parse: Callable[[], Callable[[str], tuple[list[tuple], list[t
     )
 
 
-def spacy_backend(model: str = "en_core_web_sm") -> Callable[[DataFrame], DataFrame]:
+def spacy_model() -> str:
+    """The parser that the environment names in SPACY_MODEL, else a small English one."""
+    return os.environ.get("SPACY_MODEL", "en_core_web_sm")
+
+
+def _loaded(model: str | None, merge: bool = True) -> Any:
+    """A spaCy pipeline in which an entity is one token; without the model, blank English that only splits sentences."""
+    spacy = needed("spacy")
+    try:
+        nlp = spacy.load(model or spacy_model())
+    except OSError:
+        nlp = spacy.blank("en")
+        nlp.add_pipe("sentencizer")
+    if merge and "ner" in nlp.pipe_names:
+        nlp.add_pipe("merge_entities")
+    return nlp
+
+
+TOKENS = "array<struct<at:int,text:string,lemma:string,pos:string,dep:string,head:int>>"
+SPANS = "array<struct<start:int,end:int,text:string,label:string>>"
+
+
+def token_backend(parse: Callable[[], Callable[[str], tuple[list[tuple], list[tuple]]]]) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """A parser for :func:`loomtext.operators.events.mentions_in_segments`: sentences to tokens and entities.
+
+    ``parse()`` makes the parser, once in a worker; it maps a sentence to tokens (place, text, lemma,
+    part of speech, relation, place of the head) and entities (first place, end, text, label).
+    """
+
+    @F.pandas_udf(f"struct<tokens:{TOKENS},ents:{SPANS}>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parser = parse()
+        fields = ("at", "text", "lemma", "pos", "dep", "head"), ("start", "end", "text", "label")
+        for texts in batches:
+            rows = [[[dict(zip(names, x)) for x in own] for names, own in zip(fields, parser(t or ""))] for t in texts]
+            yield pd.DataFrame(rows, columns=["tokens", "ents"])
+
+    def apply(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parsed = sentences.select("doc_id", F.col("sent_id").cast("bigint").alias("sent_id"), run("text").alias("p"))
+        first = F.shiftleft("sent_id", 20)
+        t = parsed.select("doc_id", "sent_id", F.explode("p.tokens").alias("t"))
+        e = parsed.select("doc_id", "sent_id", F.explode("p.ents").alias("e"))
+        tokens = t.select(
+            "doc_id", "sent_id", (first + F.col("t.at")).alias("i"), "t.text", "t.lemma", "t.pos", "t.dep", (first + F.col("t.head")).alias("head_i")
+        )
+        return tokens, e.select(
+            "doc_id", "sent_id", (first + F.col("e.start")).alias("start_i"), (first + F.col("e.end")).alias("end_i"), "e.text", "e.label"
+        )
+
+    return apply
+
+
+def spacy_tokens(model: str | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """:func:`token_backend` of a spaCy model."""
+
+    def parse() -> Callable[[str], tuple[list[tuple], list[tuple]]]:
+        nlp = _loaded(model, merge=False)
+
+        def run(text: str) -> tuple[list[tuple], list[tuple]]:
+            doc = nlp(text)
+            return [(t.i, t.text, t.lemma_, t.pos_, t.dep_, t.head.i) for t in doc], [(e.start, e.end, e.text, e.label_) for e in doc.ents]
+
+        return run
+
+    return token_backend(parse)
+
+
+def rule_backend(places: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """A backend of :func:`loomtext.operators.annotate.annotate` without a model: names, bodies and dates by rules, no verb frames."""
+
+    def run(df: DataFrame) -> DataFrame:
+        nothing = F.lit(None).cast("string")
+        return df.withColumns({"ents": parsing.named_spans(F.col("text"), places).cast(ENTITIES), "verb_data": F.array().cast(VERBS), "error": nothing})
+
+    return run
+
+
+def hf_answers(model: str | None = None) -> Callable[[Column], Column]:
+    """Answers of a text-to-text model; EVENT_HF_MODEL names it where it isn't given."""
+
+    @F.pandas_udf("string")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pipe = needed("transformers").pipeline("text2text-generation", model=model or os.environ.get("EVENT_HF_MODEL", "google/flan-t5-base"))
+        for prompts in batches:
+            yield pd.Series([x["generated_text"] for x in pipe([p or "" for p in prompts])], dtype="object")
+
+    return call
+
+
+def event_answers(ask: Callable[[Column], Column]) -> Callable[[Column, Column, Column, Column, Column], Column]:
+    """What :func:`loomtext.operators.events.extract_events_from_segments` takes as ``answer``, of :func:`llm_answers` or :func:`hf_answers`."""
+    return lambda *fields: ask(event_prompt(*fields))
+
+
+def configured_client(provider: str | None = None, model: str | None = None, base_url: str | None = None, **options) -> Callable[[list[str]], list[str]]:
+    """:func:`chat_client` with LLM_PROVIDER, LLM_MODEL and LLM_BASE_URL of the environment for what isn't given."""
+    env = os.environ.get
+    return chat_client(provider or env("LLM_PROVIDER", "openai"), model or env("LLM_MODEL", "gpt-4o-mini"), base_url=base_url or env("LLM_BASE_URL"), **options)
+
+
+def spacy_backend(model: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Entities and verb frames of a spaCy model, where spaCy is installed."""
 
     def parse() -> Callable[[str], tuple[list[tuple], list[tuple]]]:
-        nlp = needed("spacy").load(model)
+        nlp = _loaded(model)
 
         def run(text: str) -> tuple[list[tuple], list[tuple]]:
             doc = nlp(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--include-text", action="store_true")
     p.add_argument("--verbs", action="store_true", help="verb frames; needs --spacy-model")
     p.add_argument("--spacy-model", help="a parser for names and verb frames")
+    p.add_argument("--rule-names", action="store_true", help="names by rules where there is no parser")
     p.add_argument("--resources-dir", help="a folder of term lists")
     p.add_argument("--no-entity-ruler", action="store_true", help="match no phrases of the term lists")
     p.add_argument("--segments", type=int, default=100)
@@ -37,7 +39,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--emotion", choices=["off", "rule", "llm", "hf"], default="off")
     p.add_argument("--emotion-dist", action="store_true")
     p.add_argument("--model", help="the model of --sentiment or --emotion hf or llm")
-    p.add_argument("--provider", default="openai", help="of language models")
+    p.add_argument("--provider", help="of language models; LLM_PROVIDER, LLM_MODEL and LLM_BASE_URL stand in for what isn't given")
+    p.add_argument("--tqdm", action="store_true", help="show the progress of stages")
     p.add_argument("--base-url")
     p.add_argument("--interpret", action="store_true")
     p.add_argument("--viz", choices=["none", "map", "cooc"], default="none")
@@ -62,13 +65,14 @@ def records(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
             rows = texts.withColumns({"segId": F.lit(1), "segCount": F.lit(1)})
         else:
             rows = split_into_segments(texts, args.segments)
-    model = backends.spacy_backend(args.spacy_model) if args.spacy_model else None
+    named = args.spacy_model or os.environ.get("SPACY_MODEL")
+    model = backends.spacy_backend(named) if named else backends.rule_backend() if args.rule_names else None
     terms = {} if args.no_entity_ruler else resources.phrase_terms(args.resources_dir)
     out = A.annotate(rows, include_verbs=args.verbs, backend=model, folder=args.resources_dir, terms=terms)
 
     def made(kinds, name: str):
         if name == "llm":
-            return backends.backend(kinds, name, answer=backends.chat_client(args.provider, args.model, base_url=args.base_url))
+            return backends.backend(kinds, name, answer=backends.configured_client(args.provider, args.model, args.base_url))
         return backends.backend(kinds, name, **({"model": args.model} if name == "hf" else {}))
 
     if args.sentiment != "off":
@@ -82,7 +86,7 @@ def records(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
-    spark = SparkSession.builder.appName("loomtext").getOrCreate()
+    spark = SparkSession.builder.appName("loomtext").config("spark.ui.showConsoleProgress", str(args.tqdm).lower()).getOrCreate()
     if args.info:
         print(json.dumps({r["label"]: r["terms"] for r in resources.label_counts(spark, args.resources_dir).collect()}, sort_keys=True))
         return 0
@@ -91,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     out = records(spark, args)
     if args.input and not args.segments_json and out.isEmpty():
-        print("No files matched.", file=sys.stderr)
+        print("Nothing fits the inputs.", file=sys.stderr)
         return 1
     if args.viz == "map":
         places = spark.read.option("header", True).csv(args.places) if args.places else None

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import count_in, let, tokens
+from loomtext.functions.text import count_in, let, tokens_among
 
 POSITIVE = frozenset(
     "free freedom happiness happy help helped hope joy kind kindness love peace protected relief"
@@ -40,8 +40,7 @@ def clamp(value: Column, low: float = -1.0, high: float = 1.0) -> Column:
 
 def polarity_counts(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """(pos, neg): tokens of either list, each time they occur; zeros for null."""
-    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    return let(words, lambda w: F.struct(count_in(w, positive).alias("pos"), count_in(w, negative).alias("neg")))
+    return let(tokens_among(text, [*positive, *negative]), lambda w: F.struct(count_in(w, positive).alias("pos"), count_in(w, negative).alias("neg")))
 
 
 def sentiment_of_counts(pos: Column, neg: Column) -> Column:
@@ -79,8 +78,7 @@ def signed_from_top(label: Column, score: Column) -> Column:
 
 def emotion_counts(text: Column, words: Mapping[str, Sequence[str]] = EMOTION_WORDS) -> Column:
     """Tokens of each emotion in the order of ``EMOTIONS``; neutral has none."""
-    own = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    return let(own, lambda w: F.array(*[count_in(w, words[e]) if words.get(e) else F.lit(0) for e in EMOTIONS]))
+    return let(tokens_among(text, [x for e in EMOTIONS for x in words.get(e, ())]), lambda w: F.array(*[count_in(w, words[e]) if words.get(e) else F.lit(0) for e in EMOTIONS]))
 
 
 def emotion_of_counts(counts: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Mapping, Sequence
 
 import regex
@@ -22,8 +21,8 @@ KEPT_LABELS = (
 
 
 def holds(terms: Iterable[str], value: Column) -> Column:
-    """Whether some terms hold a value; the list is one literal, folded to an array when planned."""
-    return F.array_contains(F.from_json(F.lit(json.dumps(sorted(terms))), "array<string>"), value)
+    """Whether some terms hold a value: a hash lookup."""
+    return value.isin(*sorted(terms))
 
 
 def classified(name: Column, label: Column, classes: Mapping[str, Sequence[str]]) -> Column:

@@ -5,7 +5,7 @@ A text is cut within its own row, so none of these needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,8 +92,14 @@ def lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens between white space, without marks at their ends."""
-    runs = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    return F.transform(runs, lambda t: F.lower(F.btrim(t, F.lit(EDGE_MARKS))))
+    runs = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
+    return F.transform(runs, lambda t: F.btrim(t, F.lit(EDGE_MARKS)))
+
+
+def tokens_among(text: Column, wanted: Iterable[str]) -> Column:
+    """The tokens that are among some words; none for null. Counts of several lists start from these few."""
+    own = F.filter(tokens(text), lambda t: t.isin(*sorted(set(wanted))))
+    return F.coalesce(own, F.array().cast("array<string>"))
 
 
 def count_in(words: Column, wanted: Sequence[str]) -> Column:

@@ -11,7 +11,7 @@ from loomtext.functions import affect, interpret, phrases
 from loomtext.operators.segments import split_into_segments
 from loomtext.schemas import ENTITIES, VERBS
 from loomtext.sources import resources
-from loomtext.sources.files import read_texts, texts_frame
+from loomtext.sources.files import read_texts, read_texts_or_errors, texts_frame
 
 #: Adds ents (list of start_char, token, label) and verb_data to a DataFrame with text.
 Backend = Callable[[DataFrame], DataFrame]
@@ -109,23 +109,43 @@ def annotate_files(
     return annotate(files.withColumns({"segId": F.lit(1), "segCount": F.lit(1)}), **options)
 
 
+def annotate_inputs(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8", **options) -> DataFrame:
+    """Records of whole files; one that can't be read has a record with its error and no entities."""
+    files_ = read_texts_or_errors(spark, paths, encoding).withColumns({"segId": F.lit(1), "segCount": F.lit(1)})
+    return annotate(files_, **options)
+
+
 def chunk_and_annotate_text(spark: SparkSession, text: str, file_id: str = "text", n_segments: int = 100, **options) -> DataFrame:
     docs = spark.createDataFrame([(file_id, text)], "fileId string, text string")
     return annotate(split_into_segments(docs, n_segments), **options)
 
 
-def with_sentiment(df: DataFrame, backend: Callable[[Column], Column] | None = None, text: str = "text", **words) -> DataFrame:
-    """``df`` with sentiment_label and sentiment_score; ``backend`` maps a text column to (label, score)."""
-    found = (backend or (lambda t: affect.rule_sentiment(t, **words)))(F.col(text))
-    return _spread(df, found, {"sentiment_label": "label", "sentiment_score": "score"})
+def _said(df: DataFrame, text: str) -> Column:
+    """The text, or the segment where a record has no text."""
+    return interpret.first_text(*[F.col(c) for c in dict.fromkeys((text, "segment")) if c in df.columns])
+
+
+def with_sentiment(
+    df: DataFrame, backend: Callable[[Column], Column] | None = None, text: str = "text", include_signed: bool = False, **words
+) -> DataFrame:
+    """``df`` with sentiment_label, sentiment_score and, if asked for, sentiment_signed; ``backend`` maps a text column to (label, score, signed)."""
+    found = (backend or (lambda t: affect.rule_sentiment(t, **words)))(_said(df, text))
+    fields = {"sentiment_label": "label", "sentiment_score": "score"} | ({"sentiment_signed": "signed"} if include_signed else {})
+    return _spread(df, found, fields)
 
 
 def with_emotion(
-    df: DataFrame, backend: Callable[[Column], Column] | None = None, distribution: bool = False, text: str = "text", **words
+    df: DataFrame,
+    backend: Callable[[Column], Column] | None = None,
+    distribution: bool = False,
+    text: str = "text",
+    include_signed: bool = False,
+    **words,
 ) -> DataFrame:
-    """``df`` with emotion_label, emotion_score and, if asked for, emotion_dist."""
-    found = (backend or (lambda t: affect.rule_emotion(t, **words)))(F.col(text))
+    """``df`` with emotion_label, emotion_score and, if asked for, emotion_dist and emotion_signed."""
+    found = (backend or (lambda t: affect.rule_emotion(t, **words)))(_said(df, text))
     fields = {"emotion_label": "label", "emotion_score": "score"} | ({"emotion_dist": "distribution"} if distribution else {})
+    fields |= {"emotion_signed": "signed"} if include_signed else {}
     return _spread(df, found, fields)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.affect import clamp
+from loomtext.functions.affect import clamp, rule_emotion
+from loomtext.functions.text import let
+from loomtext.operators import frames, parsing
+from loomtext.operators.segments import split_sentences
 
 PERSONS_SHOWN = 5
 _FIRST_PERSON = r"(?iU)\b(?:I|I'm|me|my|our|us|we|we're)\b"
@@ -57,10 +62,12 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
 
 def categorized(events: DataFrame, least_mentions: int = 2) -> DataFrame:
     """``events`` with category: major if mentioned often for its file, or if person and place are known."""
-    most = F.max("count_mentions").over(Window.partitionBy("fileId"))
-    often = F.col("count_mentions") >= F.greatest(F.lit(least_mentions), F.lit(2), F.floor(0.4 * most).cast("int"))
+    # a maximum and a join: a file's events needn't meet in one task
+    most = events.groupBy("fileId").agg(F.max("count_mentions").alias("most_mentions"))
+    often = F.col("count_mentions") >= F.greatest(F.lit(least_mentions), F.lit(2), F.floor(0.4 * F.col("most_mentions")).cast("int"))
     known = (F.size("persons") > 0) & (F.coalesce("place", F.lit("")) != "")
-    return events.withColumn("category", F.when(often | known, "major").otherwise("minor"))
+    met = events.withColumn("category", F.when(known, "major").otherwise("minor")).join(most, "fileId")
+    return met.withColumn("category", F.when(often, "major").otherwise(F.col("category"))).select(*events.columns, "category")
 
 
 def with_pooled_emotion(events: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -147,7 +154,7 @@ def merge_clusters(events: DataFrame, clusters: DataFrame) -> DataFrame:
     new_sources = F.aggregate(
         rest,
         head["sources"],
-        lambda own, x: F.concat(own, F.filter(x["sources"], lambda s: ~F.array_contains(own, s))),
+        lambda own, x: F.concat(own, F.array_distinct(F.filter(x["sources"], lambda s: ~F.array_contains(own, s)))),
     )
     return grouped.withColumn("people", people).select(
         "fileId",
@@ -211,6 +218,75 @@ def extract_events(
     return with_pooled_emotion(found, predictions)
 
 
+def mentions_in_segments(segments_: DataFrame, places: Sequence[str] = (), parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """Event mentions of segments (fileId, segId, text): a phrase, names, places and dates for each sentence.
+
+    ``parse`` maps sentences (doc_id, sent_id, text) to tokens and entities; without it the rules of
+    :mod:`loomtext.operators.parsing` do. Blank segments have no mentions.
+    """
+    named = segments_.select(F.struct("fileId", "segId").alias("doc_id"), "text")
+    said = split_sentences(named)
+    tokens, ents = parse(said) if parse is not None else rule_parse(said, places)
+    found = frames.mentions_of(frames.merge_entities(tokens, ents), ents, said.withColumnRenamed("text", "sentence"))
+    return found.select(
+        "doc_id.fileId", "doc_id.segId", F.struct("doc_id.segId", "sent_id").alias("ord"), "canon", "sentence", "persons", "places", "dates"
+    )
+
+
+def rule_parse(sentences: DataFrame, places: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    tokens = parsing.rule_tokens(sentences)
+    return tokens, parsing.rule_entities(tokens, places)
+
+
+def extract_events_from_segments(
+    segments_: DataFrame,
+    least_mentions: int = 2,
+    emotion: Callable[[Column], Column] | None = rule_emotion,
+    dedupe: float | None = None,
+    answer: Callable[[Column, Column, Column, Column, Column], Column] | None = None,
+    places: Sequence[str] = (),
+    parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> DataFrame:
+    """Events of files from the texts of their segments (fileId, segId, text).
+
+    ``emotion`` maps a text column to a prediction with label and signed, None leaves emotions out;
+    ``dedupe`` is the similarity from which phrases of a file count as one event;
+    ``answer`` maps (event, place, date, persons, others) to a model's JSON that is merged in.
+    """
+    found = aggregate_mentions(mentions_in_segments(segments_, places, parse))
+    if dedupe is not None:
+        order = F.shiftleft(F.col("ord.segId").cast("bigint"), 32) + F.col("ord.sent_id")
+        phrases = found.select(F.col("fileId").alias("group"), F.col("eventId").alias("id"), order.alias("ord"), phrase_vector(F.col("event")).alias("embedding"))
+        clusters = semantic_clusters(phrases, dedupe).withColumnsRenamed({"group": "fileId", "id": "eventId"})
+        found = merge_clusters(found, clusters)
+    found = categorized(found, least_mentions)
+    if emotion is not None:
+        felt = segments_.select("fileId", "segId", emotion(F.col("text")).alias("e")).select("fileId", "segId", "e.label", "e.signed")
+        found = with_pooled_emotion(found, felt)
+    else:
+        found = found.withColumns({"emotion": F.lit(None).cast("string"), "emotion_valence": F.lit(None).cast("double")})
+    if answer is not None:
+        found = normalized(found, answer(*[F.col(c) for c in ("event", "place", "date", "persons", "others")]))
+    return found
+
+
+def extract_events_from_files(spark: SparkSession, files: Mapping[str, Sequence[str]], **options) -> DataFrame:
+    """Events of {file: segments}; segments are numbered from 0."""
+    rows = [(name, k, text) for name, own in files.items() for k, text in enumerate(own)]
+    return extract_events_from_segments(spark.createDataFrame(rows, "fileId string, segId int, text string"), **options)
+
+
+PHRASE_DIMENSIONS = 64
+
+
+def phrase_vector(phrase: Column) -> Column:
+    """A phrase as counts of its words' letter triples in hashed dimensions, so that phrases of like wording are near."""
+    low = F.concat(F.lit(" "), F.lower(phrase), F.lit(" "))
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda k: F.pmod(F.xxhash64(F.substring(low, k, F.lit(3))), F.lit(PHRASE_DIMENSIONS)).cast("int"))
+    zero = F.array_repeat(F.lit(0.0), PHRASE_DIMENSIONS)
+    return let(triples, lambda t: F.transform(zero, lambda z, d: z + F.size(F.filter(t, lambda x: x == d))))
+
+
 def witness(evidence: Column) -> Column:
     """narrator where a sentence speaks in the first person, else other/unknown."""
     return F.when(F.exists(evidence, lambda s: s.rlike(_FIRST_PERSON)), "narrator").otherwise("other/unknown")
@@ -220,6 +296,13 @@ def people(persons: Column, others: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(persons, others)), ", ")
 
 
+def full_events(events: DataFrame) -> DataFrame:
+    """The fourteen columns of an event table with its lists as they are."""
+    return events.select(
+        "fileId", "eventId", "event", "category", "place", "date", "persons", "others", "emotion", "emotion_valence", "confidence", "count_mentions", "sources", "evidence"
+    )
+
+
 def flat_events(events: DataFrame) -> DataFrame:
     """The twelve flat columns of an event table; what is unknown is '' where it is text."""
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
@@ -227,3 +310,11 @@ def flat_events(events: DataFrame) -> DataFrame:
         "fileId", "eventId", "event", "category", text("place"), text("date"), witness(F.col("evidence")).alias("witness"),
         people(F.col("persons"), F.col("others")).alias("people"), text("emotion"), "emotion_valence", "count_mentions", "confidence",
     )
+
+
+def event_table(events: DataFrame, schema: str = "default") -> DataFrame:
+    """``events`` as a table: ``default`` keeps lists, ``flat`` has twelve flat columns."""
+    schemas = {"default": full_events, "flat": flat_events}
+    if schema not in schemas:
+        raise ValueError(f"unknown schema {schema!r}; one of {', '.join(sorted(schemas))}")
+    return schemas[schema](events)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of parts that are ordered on their own, about.
+RANGES = 200
 MAP_LABELS = ("CITY", "COUNTRY", "GPE", "LOC", "PLACE", "US-STATE")
 
 
@@ -19,12 +21,23 @@ def segment_nodes(records: DataFrame, nodes: Sequence[str] = ("PERSON", "GPE"),
 def global_ordinals(records: DataFrame, part: str = "fileId", order: str = "segId") -> DataFrame:
     """(part, order, ordinal): the place of a segment in the list of all, parts in order of name.
 
-    Only the table of parts, one row each, is ordered as a whole.
+    Parts are cut into ranges of names at the names of RANGES parts of least
+    hash; sizes are added up within a range, and ranges, a few rows, on the
+    driver. No task sees all parts.
     """
     sizes = records.groupBy(part).agg(F.count("*").alias("n"), F.min(order).alias("least"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(part, "least", before.alias("before"))
-    return records.select(part, order).join(offsets, part).select(part, order, (F.col("before") + F.col(order) - F.col("least")).alias("ordinal"))
+    edges = sorted(r[0] for r in sizes.where(F.col(part).isNotNull()).select(part).orderBy(F.xxhash64(part), part).limit(RANGES).collect())
+    cuts = F.array(*map(F.lit, edges)) if edges else F.array()
+    ranged = sizes.withColumn("range", F.size(F.filter(cuts, lambda x: x <= F.col(part))) if edges else F.lit(0))
+    above, offsets = 0, []
+    for r in sorted(ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()):
+        offsets.append((r["range"], above))
+        above += r["n"]
+    own = Window.partitionBy("range").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(records.sparkSession.createDataFrame(offsets, "range int, above bigint"))
+    placed = ranged.withColumn("within", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, "range")
+    placed = placed.select(part, "least", (F.col("above") + F.col("within")).alias("before"))
+    return records.select(part, order).join(placed, part).select(part, order, (F.col("before") + F.col(order) - F.col("least")).alias("ordinal"))
 
 
 def cooccurrence(found: DataFrame, window: int = 1, part: str | None = "fileId", order: str = "segId", sizes: DataFrame | None = None) -> DataFrame:
@@ -33,16 +46,20 @@ def cooccurrence(found: DataFrame, window: int = 1, part: str | None = "fileId",
     ``found`` has part, order and node, order being whole numbers without gaps.
     There is a window about each segment, ``window`` segments to either side,
     also about those without a name, but none beyond the first and last segment:
-    ``sizes`` has part, low and high; without it the segments that have names
+    ``sizes`` has part, low and high, or ``found`` has low and high itself; without them the segments that have names
     bound it. Each name goes to every window that holds it, once; names are then
     matched within windows by an equi-join, not by a range.
     """
     keys = [part] if part else []
-    bounds = sizes if sizes is not None else found.groupBy(*keys).agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    met = found.join(bounds, keys) if keys else found.crossJoin(F.broadcast(bounds))
+    if {"low", "high"} <= set(found.columns):
+        met = found
+    else:
+        bounds = sizes if sizes is not None else found.groupBy(*keys).agg(F.min(order).alias("low"), F.max(order).alias("high"))
+        # without a part there is one row of bounds
+        met = found.join(bounds, keys) if keys else found.crossJoin(F.broadcast(bounds))
     low, high = F.greatest(F.col(order) - window, F.col("low")), F.least(F.col(order) + window, F.col("high"))
-    spread = met.select(*keys, F.explode(F.sequence(low, high)).alias("centre"), "node").distinct()
-    in_window = spread.groupBy(*keys, "centre").agg(F.array_sort(F.collect_list("node")).alias("names"))
+    spread = met.select(*keys, F.explode(F.sequence(low, high)).alias("centre"), "node")
+    in_window = spread.groupBy(*keys, "centre").agg(F.array_sort(F.collect_set("node")).alias("names"))
     left = in_window.select(F.posexplode("names").alias("at", "u"), "names")
     pairs = left.select("u", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("v"))
     return pairs.groupBy("u", "v").agg(F.count("*").alias("w"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import affect, interpret, phrases, responses, roles
 from loomtext.functions import text as T
 from loomtext.operators import annotate as A
-from loomtext.operators import dialogue, events, graph, segments
+from loomtext.operators import dialogue, events, frames, graph, segments
 from loomtext.plans import oracle
 from loomtext.sources import resources
 from loomtext.sources.files import texts_frame
@@ -228,59 +228,111 @@ def people_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.flat_events(found).select("fileId", "event", "category", "place", "date", "people")
 
 
-def witness_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = segments.split_sentences(_texts(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list("text").alias("evidence"))
-    return said.select("doc_id", events.witness(F.col("evidence")).alias("witness"))
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens, entities, sentences) of the documents by the rule parser."""
+    said = segments.split_sentences(_texts(spark, sf_dir))
+    return *events.rule_parse(said, [n for n, _, _ in COMMON_PLACES]), said.withColumnRenamed("text", "sentence")
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised words of two letters or three in segments stand for entities."""
-    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{1,2})(?:[^a-zA-Z]|$)"), F.lit(1))))
-    return _segments(spark, sf_dir).select("doc_id", "segId", names.alias("node"))
+def rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir)[0]
 
 
-def _all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All capitalised words in segments stand for entities."""
-    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1))))
-    return _segments(spark, sf_dir).select("doc_id", "segId", names.alias("node"))
+def rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir)[1]
 
 
-def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).groupBy("doc_id").agg(F.min("segId").alias("low"), F.max("segId").alias("high"))
+def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, ents, _ = _parsed(spark, sf_dir)
+    return frames.merge_entities(tokens, ents)
 
 
-def cooccurrence_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cooccurrence(_nodes(spark, sf_dir), 0, "doc_id", sizes=_bounds(spark, sf_dir))
+def verb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, ents, said = _parsed(spark, sf_dir)
+    return frames.verb_frames(frames.merge_entities(tokens, ents), said)
 
 
-def cooccurrence_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cooccurrence(_nodes(spark, sf_dir), 1, "doc_id", sizes=_bounds(spark, sf_dir))
+def event_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, ents, said = _parsed(spark, sf_dir)
+    return frames.event_phrases(frames.merge_entities(tokens, ents), said)
 
 
-def cooccurrence_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows over the whole list of segments, across documents."""
-    return _across(spark, sf_dir, _nodes(spark, sf_dir))
+def sentence_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [F.array_join(c, "|").alias(c) for c in ("persons", "places", "dates")]
+    return frames.sentence_entities(_parsed(spark, sf_dir)[1]).select("doc_id", "sent_id", *lists)
+
+
+def _text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _documents(spark, sf_dir).select(F.col("source").alias("fileId"), F.col("doc_id").alias("segId"), "text")
+    return events.aggregate_mentions(events.mentions_in_segments(told, [n for n, _, _ in COMMON_PLACES]))
+
+
+def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from texts: parsed, phrased, grouped by file and phrase, categorised."""
+    found = events.categorized(_text_events(spark, sf_dir))
+    return found.select(
+        "fileId", "event", "place", "date", "category", "count_mentions", F.array_join("persons", "|").alias("persons"), F.array_join("others", "|").alias("others"),
+        F.round("confidence", 6).alias("confidence"),
+    )
+
+
+def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose phrases begin with the same word as one."""
+    found = _text_events(spark, sf_dir)
+    clusters = found.select("fileId", "eventId", F.lower(F.substring_index("event", " ", 1)).alias("cluster"))
+    return events.merge_clusters(found, clusters).select(
+        "fileId", "event", "place", "date", "count_mentions", F.size("evidence").alias("n_evidence"), F.array_join(F.array_sort("sources"), ",").alias("sources"),
+        F.size(F.concat("persons", "others")).alias("n_people"),
+    )
+
+
+def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that word the event anew, an unknown place for some, and one more person."""
+    found = _text_events(spark, sf_dir)
+    place = F.when(F.col("count_mentions") % 2 == 0, "Elsewhere").otherwise("")
+    answer = F.to_json(F.struct(F.concat(F.lit("It was: "), "event").alias("event"), place.alias("place"), F.array(F.lit("Somebody")).alias("persons")))
+    told = events.normalized(found, F.when(F.col("count_mentions") % 3 > 0, answer).otherwise("no answer"))
+    return told.select("fileId", F.md5(F.replace("event", F.lit("It was: "), F.lit(""))).alias("phrase"), "event", "place", F.array_join(F.concat("persons", "others"), "|").alias("people"), F.round("confidence", 6).alias("confidence"))
 
 
-def cooccurrence_names_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cooccurrence(_all_nodes(spark, sf_dir), 0, "doc_id", sizes=_bounds(spark, sf_dir))
+def witness_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = segments.split_sentences(_texts(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list("text").alias("evidence"))
+    return said.select("doc_id", events.witness(F.col("evidence")).alias("witness"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words in segments stand for entities; windows end with the document."""
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1))))
+    return _segments(spark, sf_dir).select("doc_id", "segId", F.lit(1).alias("low"), F.col("segCount").alias("high"), names.alias("node"))
 
 
-def cooccurrence_names_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cooccurrence(_all_nodes(spark, sf_dir), 1, "doc_id", sizes=_bounds(spark, sf_dir))
+def cooccurrence_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_nodes(spark, sf_dir), 0, "doc_id")
 
 
-def cooccurrence_names_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _across(spark, sf_dir, _all_nodes(spark, sf_dir))
+def cooccurrence_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_nodes(spark, sf_dir), 1, "doc_id")
 
 
-def _across(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
-    every = graph.global_ordinals(_segments(spark, sf_dir), "doc_id")
+def cooccurrence_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the whole list of segments, across documents."""
+    every = graph.global_ordinals(_segments(spark, sf_dir).select("doc_id", "segId"), "doc_id")
     bounds = every.agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
-    found = nodes.join(every, ["doc_id", "segId"]).select("ordinal", "node")
+    found = _nodes(spark, sf_dir).join(every, ["doc_id", "segId"]).select("ordinal", "node")
     return graph.cooccurrence(found, 1, None, "ordinal", bounds)
 
 
+def segment_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by tag of the annotation records, and their edges by weight."""
+    records = A.with_entities(_segments(spark, sf_dir), terms={"GPE": [n for n, _, _ in COMMON_PLACES], "FAMILY": COMMON_NEGATIVE}, places=False)
+    return graph.segment_nodes(records, ("PLACE", "FAMILY", "COUNTRY", "CITY"), ("doc_id", "segId"))
+
+
+def ranked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the segments' names, the heaviest first."""
+    return graph.ranked_edges(graph.cooccurrence(segment_nodes(spark, sf_dir), 0, "doc_id"))
+
+
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"GPE": [n for n, _, _ in COMMON_PLACES]}
     found = A.with_entities(_segments(spark, sf_dir), terms=names, places=False).withColumnRenamed("doc_id", "fileId")
@@ -364,8 +416,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_split, segment_ntile, segment_pack_fixed, token_counts, sentiment_rule, sentiment_own_words, sentiment_by_lang, emotion_rule,
         emotion_signed, emotion_distribution, summary_truncate, interpretation, themes, annotate_gazetteer, entity_label_counts, classify_places,
         ambiguous_names, line_roles, line_roles_strict, is_question, turn_merge, testimony_segments, conversation_pairs, qa_pairs, qa_pairs_documents,
+        rule_tokens, rule_entities, merge_entities, verb_frames, event_phrases, sentence_entities, text_events, merge_clusters, normalized_events,
         event_mentions, event_aggregate, event_major_minor, event_emotion_mode, people_flatten, witness_infer, cooccurrence_w0, cooccurrence_w1,
-        cooccurrence_across, cooccurrence_names_w0, cooccurrence_names_w1, cooccurrence_names_across, geojson_features, place_centroid, export_flatten_json, llm_parse_sentiment, llm_parse_emotion, semantic_dedupe,
+        cooccurrence_across, segment_nodes, ranked_edges, geojson_features, place_centroid, export_flatten_json, llm_parse_sentiment, llm_parse_emotion, semantic_dedupe,
         annotation_records, gazetteer_labels, texts_list, speaker_turn_counts,
     )
 }

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from loomtext.functions import affect, interpret, phrases, roles
 from loomtext.functions.text import ABBREVIATIONS, BLANKS, EDGE_MARKS
+from loomtext.operators import parsing
 from loomtext.sources import resources
 
 
@@ -177,6 +178,81 @@ def _events(places: Sequence[str]) -> str:
     events AS (SELECT *, {keep} AS who FROM grouped)"""
 
 
+def _parse(places: Sequence[str]) -> str:
+    """Tokens, entities and tokens merged by entities, by the rules of the parser, stated in SQL."""
+    low = "lower(token)"
+    verb = f"({low} IN {_among(parsing.VERBS)} OR (length(token) >= {parsing.LEAST_VERB} AND regexp_matches({low}, '(ed|ing)$') AND {low} NOT IN {_among(parsing.NO_VERBS)}))"
+    listed = {"AUX": parsing.AUXILIARIES, "ADP": parsing.PREPOSITIONS, "DET": parsing.DETERMINERS, "PRON": parsing.PRONOUNS}
+    pos = " ".join(f"WHEN {low} IN {_among(own)} THEN '{k}'" for k, own in listed.items())
+    pos += f" WHEN {low} IN {_among(parsing.ADVERBS)} OR (ends_with({low}, 'ly') AND {low} NOT IN {_among(parsing.NO_ADVERBS)}) THEN 'ADV' WHEN {low} IN {_among(parsing.CONJUNCTIONS)} THEN 'CCONJ'"
+    pos += f" WHEN {verb} THEN 'VERB' WHEN regexp_matches(token, '^[A-Za-zÀ-ÖØ-öø-ÿ]') THEN 'NOUN' WHEN regexp_matches(token, '^[0-9]') THEN 'NUM' ELSE 'PUNCT'"
+    lemmas = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in parsing.VERBS.items())
+    small = _among([*parsing.AUXILIARIES, *parsing.PREPOSITIONS, *parsing.DETERMINERS, *parsing.PRONOUNS, *parsing.ADVERBS, *parsing.CONJUNCTIONS])
+    first = "(verb IS NOT NULL OR prep IS NOT NULL) AND (nominal IS NULL OR nominal < greatest(verb, prep))"
+    is_subject, is_pobj = "(ends AND next_pos = 'VERB')", f"(ends AND {first} AND greatest(verb, prep) = prep)"
+    is_dobj, inner = f"(ends AND {first} AND greatest(verb, prep) = verb)", "(pos IN ('NOUN', 'PRON') AND NOT ends)"
+    return f"""{_SENTS},
+    raw AS (SELECT doc_id, sent_id::BIGINT AS sent_id, unnest(regexp_extract_all(text, {_text(parsing.TOKEN)})) AS token,
+        generate_subscripts(regexp_extract_all(text, {_text(parsing.TOKEN)}), 1) - 1 AS place FROM sents),
+    posed AS (SELECT doc_id, sent_id, (sent_id * 1048576 + place)::BIGINT AS i, token, CASE {pos} END AS pos FROM raw),
+    marked AS (SELECT *, pos IN ('NOUN', 'PRON') AND coalesce(lead(pos) OVER w NOT IN ('NOUN', 'PRON'), true) AS ends,
+        max(CASE WHEN pos = 'VERB' THEN i END) OVER b AS verb, max(CASE WHEN pos = 'ADP' THEN i END) OVER b AS prep,
+        min(CASE WHEN pos = 'VERB' THEN i END) OVER s AS root, min(CASE WHEN pos = 'AUX' THEN i END) OVER s AS aux,
+        min(CASE WHEN pos NOT IN ('AUX', 'ADV') THEN i END) OVER a AS next_i, arg_min(pos, i) FILTER (WHERE pos NOT IN ('AUX', 'ADV')) OVER a AS next_pos
+        FROM posed WINDOW s AS (PARTITION BY doc_id, sent_id), w AS (PARTITION BY doc_id, sent_id ORDER BY i),
+        b AS (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        a AS (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    held AS (SELECT *, max(CASE WHEN ends THEN i END) OVER (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nominal,
+        min(CASE WHEN ends THEN i END) OVER (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS run_end FROM marked),
+    tokens AS (SELECT doc_id, sent_id, i, token AS text,
+        CASE WHEN pos = 'VERB' THEN CASE {low} {lemmas} ELSE regexp_replace({low}, '(ed|ing)$', '') END
+            WHEN {low} IN ('am', 'are', 'is', 'was', 'were', 'been', 'being') THEN 'be' ELSE {low} END AS lemma, pos,
+        CASE WHEN i = coalesce(root, aux) THEN 'ROOT' WHEN {is_subject} THEN 'nsubj' WHEN {is_pobj} THEN 'pobj' WHEN {is_dobj} THEN 'dobj' WHEN {inner} THEN 'compound'
+            WHEN pos = 'ADP' AND verb IS NOT NULL THEN 'prep' ELSE 'dep' END AS dep,
+        CASE WHEN {is_subject} THEN next_i WHEN {is_pobj} THEN prep WHEN {is_dobj} OR pos = 'ADP' THEN coalesce(verb, i) WHEN {inner} THEN run_end ELSE i END AS head_i FROM held),
+    kinds AS (SELECT doc_id, sent_id, i, text, CASE WHEN text IN {_among([*parsing.MONTHS, *parsing.DAYS])} OR regexp_full_match(text, '1[0-9]{{3}}|20[0-9]{{2}}') THEN 'DATE'
+        WHEN regexp_matches(text, '^[A-ZÀ-ÖØ-Þ]') AND lower(text) NOT IN {small} THEN 'NAME' END AS kind FROM tokens),
+    runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sent_id, kind ORDER BY i) AS run FROM kinds WHERE kind IS NOT NULL),
+    spans AS (SELECT doc_id, sent_id, kind, min(i) AS start_i, max(i) + 1 AS end_i, string_agg(text, ' ' ORDER BY i) AS text, arg_max(text, i) AS last FROM runs GROUP BY doc_id, sent_id, kind, run),
+    ents AS (SELECT doc_id, sent_id, start_i, end_i, text, CASE WHEN kind = 'DATE' THEN 'DATE' WHEN text IN {_among(places)} THEN 'GPE'
+        WHEN last IN {_among(parsing.ORGANISATIONS)} THEN 'ORG' ELSE 'PERSON' END AS label FROM spans
+        WHERE start_i <> sent_id * 1048576 OR kind = 'DATE' OR end_i - start_i > 1 OR text IN {_among(places)}),
+    within_ AS (SELECT t.*, e.start_i, e.end_i, e.text AS own FROM tokens t LEFT JOIN ents e ON e.doc_id = t.doc_id AND e.sent_id = t.sent_id AND t.i >= e.start_i AND t.i < e.end_i),
+    tops AS (SELECT doc_id, start_i, min(i) AS top FROM within_ WHERE start_i IS NOT NULL AND (head_i < start_i OR head_i >= end_i OR head_i = i) GROUP BY 1, 2),
+    chosen AS (SELECT w.*, top FROM within_ w LEFT JOIN tops p ON p.doc_id = w.doc_id AND p.start_i = w.start_i),
+    merged AS (SELECT c.doc_id, c.sent_id, c.i, coalesce(c.own, c.text) AS text, coalesce(c.own, c.lemma) AS lemma, c.pos, c.dep, coalesce(h.top, c.head_i) AS head_i
+        FROM chosen c LEFT JOIN chosen h ON h.doc_id = c.doc_id AND h.i = c.head_i WHERE c.top IS NULL OR c.top = c.i)"""
+
+
+def _phrases(places: Sequence[str]) -> str:
+    return f"""{_parse(places)},
+    mains AS (SELECT doc_id, sent_id, arg_min(i, rank) AS i, arg_min(lemma, rank) AS lemma FROM (
+        SELECT *, i + CASE WHEN dep = 'ROOT' AND pos IN ('VERB', 'AUX') THEN 0 ELSE 1::BIGINT << 60 END AS rank FROM merged
+        WHERE (dep = 'ROOT' AND pos IN ('VERB', 'AUX')) OR pos = 'VERB') GROUP BY 1, 2),
+    kids AS (SELECT c.doc_id, c.head_i AS i, string_agg(c.text, ' ' ORDER BY c.i) FILTER (WHERE c.dep = 'nsubj') AS subj,
+        string_agg(c.text, ' ' ORDER BY c.i) FILTER (WHERE c.dep = 'dobj') AS obj FROM merged c WHERE c.i <> c.head_i GROUP BY 1, 2),
+    under_ AS (SELECT p.doc_id, p.head_i AS i, string_agg(o.text, ' ' ORDER BY p.i, o.i) AS pobj FROM merged p
+        JOIN merged o ON o.doc_id = p.doc_id AND o.head_i = p.i AND o.dep = 'pobj' WHERE p.dep = 'prep' AND p.i <> p.head_i GROUP BY 1, 2),
+    phrased AS (SELECT m.doc_id, m.sent_id, trim(concat_ws(' ', subj, lemma, coalesce(obj, pobj))) AS canon FROM mains m
+        LEFT JOIN kids USING (doc_id, i) LEFT JOIN under_ USING (doc_id, i)),
+    phrases AS (SELECT s.doc_id, s.sent_id, s.text AS sentence, coalesce(canon, trim(s.text)) AS canon FROM sents s LEFT JOIN phrased p ON p.doc_id = s.doc_id AND p.sent_id = s.sent_id)"""
+
+
+def _text_events(places: Sequence[str]) -> str:
+    keep = lambda l: f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+    names = lambda labels: f"list(text ORDER BY start_i) FILTER (WHERE label IN {_among(labels)})"
+    bonus = "0.05 + CASE WHEN len(persons) > 0 THEN 0.05 ELSE 0 END + CASE WHEN len(places) > 0 THEN 0.05 ELSE 0 END + CASE WHEN len(dates) > 0 THEN 0.05 ELSE 0 END"
+    order = "ORDER BY doc_id, sent_id"
+    return f"""{_phrases(places)},
+    named AS (SELECT doc_id, sent_id, {names(["PERSON"])} AS persons, {names(["FAC", "GPE", "LOC"])} AS places, {names(["DATE", "TIME"])} AS dates FROM ents GROUP BY 1, 2),
+    mentions AS (SELECT d.source AS "fileId", p.doc_id, p.sent_id, p.sentence, canon, coalesce(persons, []) AS persons, coalesce(places, []) AS places, coalesce(dates, []) AS dates
+        FROM phrases p JOIN documents d USING (doc_id) LEFT JOIN named n ON n.doc_id = p.doc_id AND n.sent_id = p.sent_id WHERE trim(canon) <> ''),
+    grouped AS (SELECT "fileId", lower(canon) AS key, arg_min(canon, doc_id * 1000000 + sent_id) AS event, min(doc_id * 1000000 + sent_id) AS ord, count(*) AS n,
+        flatten(list(persons {order})) AS names, flatten(list(places {order}))[1] AS place, flatten(list(dates {order}))[1] AS date,
+        list(doc_id {order}) AS sources, sum({bonus}) AS bonus FROM mentions GROUP BY 1, 2),
+    events AS (SELECT *, {keep("names")} AS who, round(least(1.0, 0.35 + bonus), 9) AS confidence FROM grouped)"""
+
+
 def queries(
     positive: Sequence[str], negative: Sequence[str], emotions: Mapping[str, Sequence[str]], places: Sequence[tuple[str, float, float]]
 ) -> dict[str, str]:
@@ -190,7 +266,7 @@ def queries(
         f"CASE WHEN {' OR '.join(f'contains(lower(text), {_text(w)})' for w in own)} THEN '{k}' END"
         for k, own in (interpret.THEMES | {"article": ("the", "der", "la")}).items()
     )
-    nodes = f"""{_SEGMENTS}, found AS (SELECT DISTINCT doc_id, "segId", unnest(regexp_extract_all(text, '([A-Z][a-z]{{1,2}})(?:[^a-zA-Z]|$)', 1)) AS node FROM segments)"""
+    nodes = f"""{_SEGMENTS}, found AS (SELECT DISTINCT doc_id, "segId", unnest(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) AS node FROM segments)"""
     windows = lambda w: f"""spread AS (SELECT DISTINCT c.doc_id, c."segId" AS centre, f.node FROM segments c JOIN found f
         ON f.doc_id = c.doc_id AND f."segId" BETWEEN c."segId" - {w} AND c."segId" + {w})
         SELECT a.node AS u, b.node AS v, count(*) AS w FROM spread a JOIN spread b ON a.doc_id = b.doc_id AND a.centre = b.centre AND a.node < b.node GROUP BY 1, 2"""
@@ -201,6 +277,10 @@ def queries(
         tagged AS (SELECT e.token AS name, CASE {' '.join(f"WHEN e.token IN {_among([x for x in names if x in known[k]])} THEN '{k}'" for k in phrases.PLACE_CLASSES if set(names) & set(known[k]))
         or "WHEN false THEN ''"} ELSE 'PLACE' END AS tag FROM folded),
         located AS (SELECT tagged.*, lat, lon FROM tagged JOIN spots USING (name) WHERE tag <> 'CAMP' AND tag <> 'CONTINENT')"""
+    classed = " ".join(f"WHEN e.tag = 'GPE' AND e.token IN {_among(own)} THEN '{k}'" for k in phrases.PLACE_CLASSES if (own := sorted({*names} & {*known[k]})))
+    tagged_nodes = f"""{_SEGMENTS}, {_matches({"GPE": names, "FAMILY": negative})},
+        tags AS (SELECT doc_id, "segId", e.token AS node, CASE {classed} WHEN e.tag = 'GPE' THEN 'PLACE' ELSE e.tag END AS tag FROM folded),
+        names_ AS (SELECT DISTINCT doc_id, "segId", node FROM tags WHERE tag IN ('PLACE', 'FAMILY', 'COUNTRY', 'CITY'))"""
     label = "['positive', 'Negative ', 'neutral', 'odd'][event_id % 4 + 1]"
     felt = "['joy', 'FEAR', 'odd', 'anger'][event_id % 4 + 1]"
     category = f"""CASE WHEN n >= greatest(2, floor(0.4 * max(n) OVER (PARTITION BY "fileId"))) OR (len(who) > 0 AND coalesce(place, '') <> '') THEN 'major' ELSE 'minor' END"""
@@ -258,6 +338,35 @@ def queries(
             SELECT "fileId", event, label AS emotion, round(v, 6) + 0.0 AS emotion_valence FROM ranked JOIN meant USING ("fileId", event) WHERE nth = 1""",
         "people_flatten": f"""WITH {_events(names)} SELECT "fileId", event, {category} AS category, coalesce(place, '') AS place, coalesce(date, '') AS date,
             array_to_string(who, ', ') AS people FROM events""",
+        "rule_tokens": f"WITH {_parse(names)} SELECT doc_id, sent_id, i, text, lemma, pos, dep, head_i FROM tokens",
+        "rule_entities": f"WITH {_parse(names)} SELECT doc_id, sent_id, start_i, end_i, text, label FROM ents",
+        "merge_entities": f"WITH {_parse(names)} SELECT * FROM merged",
+        "verb_frames": f"""WITH {_parse(names)},
+            own AS (SELECT doc_id, head_i AS i, arg_min(text, i) FILTER (WHERE dep = 'nsubj') AS subject, arg_min(text, i) FILTER (WHERE dep = 'dobj') AS direct FROM merged WHERE i <> head_i GROUP BY 1, 2),
+            under_ AS (SELECT p.doc_id, p.head_i AS i, first(o.text ORDER BY p.i, o.i) AS pobj FROM merged p
+                JOIN merged o ON o.doc_id = p.doc_id AND o.head_i = p.i AND o.dep = 'pobj' WHERE p.dep = 'prep' AND p.i <> p.head_i GROUP BY 1, 2)
+            SELECT m.doc_id, m.sent_id, m.i, m.text AS verb, coalesce(subject, '') AS subject, coalesce(direct, pobj, '') AS object, s.text AS sentence
+            FROM merged m JOIN sents s ON s.doc_id = m.doc_id AND s.sent_id = m.sent_id LEFT JOIN own o ON o.doc_id = m.doc_id AND o.i = m.i
+            LEFT JOIN under_ u ON u.doc_id = m.doc_id AND u.i = m.i WHERE m.pos = 'VERB'""",
+        "event_phrases": f"WITH {_phrases(names)} SELECT doc_id, sent_id, sentence, canon FROM phrases",
+        "sentence_entities": f"""WITH {_parse(names)}, lists AS (SELECT doc_id, sent_id, list(text ORDER BY start_i) FILTER (WHERE label = 'PERSON') AS p,
+            list(text ORDER BY start_i) FILTER (WHERE label = 'GPE') AS g, list(text ORDER BY start_i) FILTER (WHERE label = 'DATE') AS d FROM ents GROUP BY 1, 2)
+            SELECT doc_id, sent_id, coalesce(array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), '|'), '') AS persons,
+            coalesce(array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|'), '') AS places,
+            coalesce(array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), '|'), '') AS dates FROM lists""",
+        "text_events": f"""WITH {_text_events(names)} SELECT "fileId", event, place, date, {category} AS category, n::INT AS count_mentions,
+            array_to_string(who[1:5], '|') AS persons, array_to_string(who[6:], '|') AS others, round(confidence, 6)::DOUBLE AS confidence FROM events""",
+        "merge_clusters": f"""WITH {_text_events(names)}, c AS (SELECT *, lower(split_part(event, ' ', 1)) AS cluster FROM events),
+            m AS (SELECT "fileId", cluster, arg_min(event, ord) AS event, arg_min(place, ord) FILTER (WHERE place <> '') AS place, arg_min(date, ord) FILTER (WHERE date <> '') AS date,
+                sum(n) AS n, flatten(list(sources)) AS s, flatten(list(who)) AS w, bool_or(true) AS t, arg_min(sources, ord) AS first, count(*) AS k FROM c GROUP BY 1, 2),
+            rest AS (SELECT c."fileId", c.cluster, unnest(c.sources) AS x FROM c JOIN m USING ("fileId", cluster) WHERE c.event <> m.event),
+            added AS (SELECT r."fileId", r.cluster, list(DISTINCT x) AS xs FROM rest r JOIN m USING ("fileId", cluster) WHERE NOT list_contains(m.first, x) GROUP BY 1, 2)
+            SELECT "fileId", event, place, date, n::INT AS count_mentions, len(s)::INT AS n_evidence,
+            array_to_string(list_sort(list_concat(first, coalesce(xs, []))), ',') AS sources, len(list_distinct(w))::INT AS n_people FROM m LEFT JOIN added USING ("fileId", cluster)""",
+        "normalized_events": f"""WITH {_text_events(names)}, t AS (SELECT *, n % 3 > 0 AS told FROM events)
+            SELECT "fileId", md5(event) AS phrase, CASE WHEN told THEN 'It was: ' || event ELSE event END AS event, CASE WHEN told AND n % 2 = 0 THEN 'Elsewhere' ELSE place END AS place,
+            array_to_string(CASE WHEN NOT told OR list_contains(who, 'Somebody') THEN who WHEN len(who) < 5 THEN list_append(who, 'Somebody') ELSE list_concat(who, ['Somebody']) END, '|') AS people,
+            round(CASE WHEN told THEN least(1.0, confidence + 0.05) ELSE confidence END, 6)::DOUBLE AS confidence FROM t""",
         "witness_infer": rf"""WITH {_SENTS} SELECT doc_id, CASE WHEN bool_or(regexp_matches(text,
             '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:I|me|my|our|us|we)(?:$|[^\p{{L}}\p{{N}}_])')) THEN 'narrator' ELSE 'other/unknown' END AS witness FROM sents GROUP BY doc_id""",
         "cooccurrence_w0": f"WITH {nodes}, {windows(0)}",
@@ -266,6 +375,9 @@ def queries(
             held AS (SELECT o, node FROM found JOIN listed USING (doc_id, "segId")),
             spread AS (SELECT DISTINCT c.o AS centre, node FROM (SELECT o, unnest([o - 1, o, o + 1]) AS near FROM listed) c JOIN held h ON h.o = c.near)
             SELECT a.node AS u, b.node AS v, count(*) AS w FROM spread a JOIN spread b ON a.centre = b.centre AND a.node < b.node GROUP BY 1, 2""",
+        "segment_nodes": f"WITH {tagged_nodes} SELECT * FROM names_",
+        "ranked_edges": f"""WITH {tagged_nodes} SELECT a.node AS u, b.node AS v, count(*) AS w FROM names_ a JOIN names_ b
+            ON a.doc_id = b.doc_id AND a."segId" = b."segId" AND a.node < b.node GROUP BY 1, 2""",
         "geojson_features": f"WITH {located} SELECT name, tag, count(*) AS n, min(lon) AS lon, min(lat) AS lat FROM located GROUP BY 1, 2",
         "place_centroid": f"WITH {located} SELECT round(coalesce(avg(lat), 0), 6) AS lat, round(coalesce(avg(lon), 0), 6) AS lon FROM located",
         "export_flatten_json": f"""WITH {_SEGMENTS}, {_matches(terms)} SELECT doc_id, "segId", to_json(list({{'token': e.token, 'tag': e.tag}} ORDER BY e.o))::VARCHAR AS entities FROM folded GROUP BY 1, 2""",

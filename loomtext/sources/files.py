@@ -5,8 +5,9 @@ from __future__ import annotations
 import glob as globbing
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,10 +33,18 @@ def decoded(content: Column, encoding: str = "utf-8") -> Column:
     if encoding.lower().replace("-", "") == "utf8":
         text = F.translate(F.make_valid_utf8(content.cast("string")), "�", "")
     else:
-        text = F.decode(content, encoding)
+        text = _other_encoding(encoding)(content)
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def _other_encoding(encoding: str) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def decode(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: None if b is None else bytes(b).decode(encoding, "ignore"))
+
+    return decode
+
+
 def _stem(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
@@ -77,6 +86,26 @@ def read_texts(
     return read.select(path.alias("file"), _stem(path).alias("fileId"), decoded(F.col("content"), encoding).alias("text"))
 
 
+def read_texts_or_errors(
+    spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8"
+) -> DataFrame:
+    """(file, fileId, text, error) of paths that executors can open; a file that can't be read has its error in place of a text."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["file"]:
+                try:
+                    with open(path, encoding=encoding, errors="ignore") as file:
+                        rows.append((path, file.read(), None))
+                except (OSError, LookupError) as error:
+                    rows.append((path, None, repr(error)))
+            yield pd.DataFrame(rows, columns=["file", "text", "error"])
+
+    listed = spark.createDataFrame([(p,) for p in dict.fromkeys(map(str, paths))], "file string")
+    return listed.mapInPandas(load, "file string, text string, error string").select("file", _stem(F.col("file")).alias("fileId"), "text", "error")
+
+
 def texts_frame(spark: SparkSession, texts: Sequence[str], file_id: str | None = None, start: int = 1) -> DataFrame:
     """(segId, text) of a list, numbered from ``start``; with ``file_id`` also fileId and segCount."""
     df = spark.createDataFrame([(start + i, t) for i, t in enumerate(texts)], "segId int, text string")

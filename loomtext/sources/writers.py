@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from loomtext.operators.events import event_table
 from loomtext.sources.files import infer_format
 
 _OUTSIDE_VERBS = "array<struct<`sent-id`:int,verb:string,subject:string,object:string,sentence:string>>"
@@ -19,13 +20,13 @@ def outside_names(df: DataFrame) -> DataFrame:
     return df.withColumn("verb_data", F.col("verb_data").cast(_OUTSIDE_VERBS)) if "verb_data" in df.columns else df
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """Every list, map and struct as JSON text; columns in alphabetical order."""
+def flat(df: DataFrame, in_order: bool = True) -> DataFrame:
+    """Every list, map and struct as JSON text; columns in alphabetical order, or as they are."""
     nested = {f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))}
-    return df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in sorted(df.columns)])
+    return df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in (sorted(df.columns) if in_order else df.columns)])
 
 
-def save(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, mode: str = "errorifexists") -> None:
+def save(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, mode: str = "errorifexists", in_order: bool = True) -> None:
     """Writes a folder of part files: json or jsonl with an object a line, csv and tsv with a header.
 
     ``single`` writes one part; as json it is one array, made by one task, for
@@ -34,7 +35,8 @@ def save(df: DataFrame, path: str, fmt: str | None = None, single: bool = False,
     kind = infer_format(path, fmt)
     rows = outside_names(df)
     if kind in ("csv", "tsv"):
-        out = flat(rows).coalesce(1) if single else flat(rows)
+        out = flat(rows, in_order)
+        out = out.coalesce(1) if single else out
         writer = out.write.mode(mode).option("header", True).option("sep", "\t" if kind == "tsv" else ",")
         writer.option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
     elif kind == "json" and single:
@@ -44,6 +46,23 @@ def save(df: DataFrame, path: str, fmt: str | None = None, single: bool = False,
         (rows.coalesce(1) if single else rows).write.mode(mode).json(path)
 
 
+def save_rows(df: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
+    """Segments or pairs: JSON lines for a path that ends with jsonl, else a CSV table."""
+    save(df, path, "jsonl" if path.lower().endswith(".jsonl") else "csv", single, mode)
+
+
+def save_events(events: DataFrame, path: str, fmt: str | None = None, schema: str = "default", single: bool = False, mode: str = "errorifexists") -> str:
+    """Events as JSON with their lists (json, jsonl, ndjson, geojson), or as a table of :func:`event_table`'s schema (csv, tsv); the path."""
+    kind = (fmt or path.rsplit(".", 1)[-1]).lower()
+    if kind in ("json", "jsonl", "ndjson", "geojson"):
+        save(events, path, "json" if kind == "json" else "jsonl", single, mode)
+    elif kind in ("csv", "tsv"):
+        save(event_table(events, schema), path, kind, single, mode, in_order=False)
+    else:
+        raise ValueError(f"unknown format {kind!r}; one of json, jsonl, ndjson, geojson, csv, tsv")
+    return path
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """(value): each row as a JSON object."""
     return outside_names(df).select(F.to_json(F.struct("*")).alias("value"))

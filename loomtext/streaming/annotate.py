@@ -33,18 +33,25 @@ def affect_by_window(stream: DataFrame, time: str = "ts", width: str = "1 hour",
     return scored.groupBy(F.window(time, width), "sentiment_label").agg(F.count("*").alias("n"), F.avg("sentiment_score").alias("score"))
 
 
-def mention_counts(stream: DataFrame) -> DataFrame:
-    """(fileId, event, count_mentions) each time a phrase is mentioned again; counts are kept by file and phrase."""
+def mention_counts(stream: DataFrame, keep_ms: int = 7 * 24 * 3_600_000) -> DataFrame:
+    """(fileId, event, count_mentions) each time a phrase is mentioned again; counts are kept by file and phrase.
+
+    A count that no mention renews for ``keep_ms`` is forgotten, so the state is bounded by what is said in that time.
+    """
 
     def update(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first, n = state.get if state.exists else (None, 0)
         for frame in frames:
             first = first or str(frame["canon"].iloc[0])
             n += len(frame)
         state.update((first, n))
+        state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({"fileId": [key[0]], "event": [first], "count_mentions": [n]})
 
     keyed = stream.where("trim(canon) <> ''").withColumn("key", F.lower("canon"))
     return keyed.groupBy("fileId", "key").applyInPandasWithState(
-        update, "fileId string, event string, count_mentions bigint", "first string, n bigint", "update", GroupStateTimeout.NoTimeout
+        update, "fileId string, event string, count_mentions bigint", "first string, n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout
     )

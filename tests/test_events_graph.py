@@ -163,7 +163,7 @@ def test_cooccurrence_of_all_names(spark, tmp_path):
     segs = {}
     for r in catalog._segments(spark, str(tmp_path)).collect():
         segs.setdefault(r["doc_id"], {})[r["segId"]] = set(re.findall("[A-Z][a-z]+", r["text"] or ""))
-    for w, query in ((0, catalog.cooccurrence_names_w0), (1, catalog.cooccurrence_names_w1)):
+    for w, query in ((0, catalog.cooccurrence_w0), (1, catalog.cooccurrence_w1)):
         want = {}
         for own in segs.values():
             for i in own:
