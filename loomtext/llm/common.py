@@ -19,7 +19,7 @@ _NO_LETTER = re.compile(r"[\W\d_]")
 #: Characters of a text that are split into words at once.
 PIECE_CHARS = 1 << 20
 #: Texts that a Python worker gets at once.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -148,6 +148,14 @@ def word_pieces(text: str | None) -> Iterator[list[str]]:
         at = end
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def type_of(df: DataFrame, column: str) -> str:
     """The column's type as DDL, for functions that pass it through unchanged."""
     return df.schema[column].dataType.simpleString()

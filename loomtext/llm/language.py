@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import hash60
+from loomtext.llm.common import hash60, type_of
 
 #: Buckets of hashed byte trigrams.
 FEATURES = 2048
@@ -161,8 +161,20 @@ def _decode(model: Model, ambiguous_below: float, least: int):
     return run
 
 
-def training_sample(docs: DataFrame, rows: int) -> dict[str, list[str]]:
-    """The whole texts of the ``rows`` documents of least hash in each language."""
+#: Characters of one piece of a long labelled text.
+PIECE_CHARS = 400
+
+
+def bounded_text(text: Column, chars: int) -> Column:
+    """The text, or of a longer one pieces from all over it that have about ``chars`` characters together."""
+    pieces = max(2, chars // PIECE_CHARS)
+    step = (F.length(text) - PIECE_CHARS) / F.lit(pieces - 1.0)
+    own = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(PIECE_CHARS)))
+    return F.when(F.length(text) <= max(chars, 2 * PIECE_CHARS), text).otherwise(F.array_join(own, " "))
+
+
+def training_sample(docs: DataFrame, rows: int, chars: int) -> dict[str, list[str]]:
+    """The texts, bounded to ``chars`` characters, of the ``rows`` documents of least hash in each language."""
     order = Window.partitionBy("lang").orderBy("hash", "doc_id", "text_key")
     ids = (
         docs.where("lang is not null and text is not null and text <> ''")
@@ -180,17 +192,18 @@ def training_sample(docs: DataFrame, rows: int) -> dict[str, list[str]]:
         & (F.xxhash64("text") == F.col("own_key")),
     )
     out: dict[str, list[str]] = {}
-    for r in sorted(met.select("lang", "text").distinct().collect()):
+    for r in sorted(met.select("lang", bounded_text(F.col("text"), chars).alias("text")).distinct().collect()):
         out.setdefault(r[0], []).append(r[1])
     return out
 
 
 def identify_languages(
-    docs: DataFrame, train_rows: int = 250, ambiguous_below: float = 0.08, least_trigrams: int = 12
+    docs: DataFrame, train_rows: int = 250, ambiguous_below: float = 0.08, least_trigrams: int = 12, train_chars: int = 100_000
 ) -> DataFrame:
     """(doc_id, language, runner_up, gap, ambiguous): one row for each document.
 
-    The labels are the ``lang`` of at most ``train_rows`` documents a language.
+    The labels are the ``lang`` of at most ``train_rows`` documents a language, of
+    each of which at most about ``train_chars`` characters train, from all over the text.
     Each language has a codeword; a binary classifier of byte trigrams predicts
     each bit, from the whole text. The language of least loss is chosen, with
     exponential loss and each bit weighted by its held-out accuracy. ``gap`` is
@@ -198,13 +211,13 @@ def identify_languages(
     under ``least_trigrams`` trigrams, the text is ambiguous.
 
     Null texts and those under 3 bytes have no language and are ambiguous. Ties
-    go to the language first in alphabetical order. Repeated rows and null ids
+    go to the language first in alphabetical order. Repeated rows and ids, of any type or null,
     are kept as they are. Columns other than doc_id, text and lang are not read.
     An empty table gives no rows; without two labelled languages every language
     is null and ambiguous.
     """
-    model = train(training_sample(docs, train_rows))
-    inputs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    model = train(training_sample(docs, train_rows, train_chars))
+    inputs = docs.select("doc_id", "text")
     if model is None:
         nothing = F.lit(None).cast("string")
         return inputs.select(
@@ -212,5 +225,5 @@ def identify_languages(
         )
     return inputs.mapInArrow(
         _decode(model, ambiguous_below, least_trigrams),
-        "doc_id bigint, language string, runner_up string, gap double, ambiguous boolean",
+        f"doc_id {type_of(docs, 'doc_id')}, language string, runner_up string, gap double, ambiguous boolean",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import cut, hash60
+from loomtext.llm.common import cut, free_name, hash60
 
 HASH_BITS = 60
 
@@ -180,12 +180,11 @@ def sample_to_weights(
         "mix-items",
     )
     found = hash_thresholds(items, plan_budgets(_totals(items), weights, [fraction], alpha, keep))
-    limits = found.select(F.col("source").alias("__mix_source"), F.col("threshold").alias("__mix_limit"))
+    own, limit = free_name(docs, "mix_source"), free_name(docs, "mix_limit")
+    # a row a source
+    limits = F.broadcast(found.select(F.col("source").alias(own), F.col("threshold").alias(limit)))
     return (
-        docs.join(
-            F.broadcast(limits),
-            F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__mix_source"),
-        )
-        .where(hash60(F.col("doc_id")) < F.col("__mix_limit"))
+        docs.join(limits, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(own))
+        .where(hash60(F.col("doc_id")) < F.col(limit))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -8,11 +8,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import cut, hash60
-from loomtext.llm.mixing import word_count
+from loomtext.llm.common import broadcast_if_small, cut, hash60, type_of
+from loomtext.llm.mixing import HASH_BITS, word_count
 
 #: Items that one best-fit task takes, about; a bin's leftover room is only offered within its task.
 CELL_ITEMS = 50_000
+#: Pieces of one length that are numbered in one task, about.
+RANGE_PIECES = 1_000_000
 #: Bin numbers of whole pieces and of bins that best-fit opens start here.
 WHOLE_BINS, OPENED_BINS = 1 << 61, 1 << 62
 
@@ -183,11 +185,11 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, small: float = 0.125,
     about CELL_ITEMS pieces; where none fits a bin is opened.
 
     Tokens are runs of anything but white space. Documents without tokens (null
-    or blank text) have no row. Repeated rows are packed once each; null ids are
-    packed as any other. Pieces of one length are ranked by the hash of their id.
+    or blank text) have no row. Repeated rows are packed once each; ids may be of any type, and
+    null ids are packed as any other. Pieces of one length are ranked by the hash of their id.
     Columns other than doc_id and text are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, type_of(docs, "doc_id")
     pieces = cut(pieces_of(docs, capacity).withColumn("order", hash60(F.col("doc_id"))), "pieces")
     limit = int(capacity * small)
     histogram = [(r["length"], r["count"]) for r in pieces.groupBy("length").count().collect()]
@@ -221,12 +223,18 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, small: float = 0.125,
     whole = pieces.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", (F.monotonically_increasing_id() + F.lit(WHOLE_BINS)).alias("bin_id")
     )
-    in_length = Window.partitionBy("length").orderBy("order", "start", "doc_id")
+    # pieces of one length are numbered within ranges of their hash, about RANGE_PIECES each
+    bits = max(0, max((c for _, c in large), default=0) // RANGE_PIECES).bit_length()
+    span = F.shiftright("order", HASH_BITS - bits)
+    between = pieces.where((F.col("length") > limit) & (F.col("length") < capacity)).withColumn("span", span)
+    before = Window.partitionBy("length").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = between.groupBy("length", "span").count().select("length", "span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    in_span = Window.partitionBy("length", "span").orderBy("order", "start", "doc_id")
     placed = cut(
-        pieces.where((F.col("length") > limit) & (F.col("length") < capacity))
-        .withColumn("nth", F.row_number().over(in_length) - 1)
+        between.withColumn("nth", F.row_number().over(in_span) - 1)
+        .join(broadcast_if_small(spans), ["length", "span"])
         .join(rank_rows, "length")
-        .withColumn("rank", F.col("above") + F.col("nth"))
+        .withColumn("rank", F.col("above") + F.col("before") + F.col("nth"))
         .join(group_rows, (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .withColumn("slot", F.col("rank") - F.col("size_from"))
         .join(
@@ -251,7 +259,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, small: float = 0.125,
         .where("room > 0")
         .select(
             F.pmod(F.xxhash64("bin_id"), F.lit(cells)).alias("cell"),
-            F.lit(None).cast("bigint").alias("doc_id"),
+            F.lit(None).cast(kind).alias("doc_id"),
             *[F.lit(None).cast("bigint").alias(c) for c in ("piece", "start", "length", "order")],
             "bin_id",
             "room",
@@ -259,7 +267,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, small: float = 0.125,
     )
     items = pieces.where(F.col("length") <= limit).select(
         F.pmod(F.xxhash64("order", "start"), F.lit(cells)).alias("cell"),
-        F.col("doc_id").cast("bigint"),
+        "doc_id",
         "piece",
         "start",
         "length",
@@ -270,7 +278,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, small: float = 0.125,
     fitted = (
         rooms.unionByName(items)
         .groupBy("cell")
-        .applyInArrow(_fit_cell(capacity), "doc_id bigint, piece bigint, start bigint, length bigint, bin_id bigint")
+        .applyInArrow(_fit_cell(capacity), f"doc_id {kind}, piece bigint, start bigint, length bigint, bin_id bigint")
     )
     return whole.unionByName(placed).unionByName(fitted)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import cut
+from loomtext.llm.common import cut, free_name
 
 #: ``monotonically_increasing_id`` keeps the partition above these bits, the row of it below.
 ROW_BITS = 33
@@ -111,12 +111,12 @@ def shard_documents(docs: DataFrame, shards: int = 64, seed: int = 20_240, stabl
             out[own] = dealt[part][value[own] & ((1 << ROW_BITS) - 1)]
         return pd.Series(out)
 
-    columns = [c for c in docs.columns]
+    columns, number = [c for c in docs.columns], free_name(docs, "shard_row")
     exchanged = (
-        docs.withColumn("__shard_row", row)
-        .withColumn("shard", deal("__shard_row"))
+        docs.withColumn(number, row)
+        .withColumn("shard", deal(number))
         .repartitionById(shards, F.col("shard"))
-        .sortWithinPartitions(F.xxhash64("__shard_row", F.lit(seed)), "__shard_row")
+        .sortWithinPartitions(F.xxhash64(number, F.lit(seed)), number)
     )
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1).cast("bigint"))
     return exchanged.withColumn("position", place).select(*columns, "shard", "position")
