@@ -453,6 +453,20 @@ def test_small_holdings_give_the_same_sums(monkeypatch):
     assert sums() == whole
 
 
+def test_packed_pairs_come_back_whole(spark):
+    rng = np.random.default_rng(5)
+    single = [1 << k for k in range(toxicity.CONTEXT_BITS)]
+    mixed = [int(x) for x in rng.integers(1, 1 << toxicity.CONTEXT_BITS, 200)] + [3, (1 << toxicity.CONTEXT_BITS) - 1]
+    masks = single + mixed
+    rows = [(-k if k % 2 else k, k * 7 - 900, [1, 2, 63, 64, 10**9][k % 5], m) for k, m in enumerate(masks)]
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["source", "near", "n", "mask"])
+    packed = [r for b in toxicity._coded(iter)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert sum(r["mask"] == 0 for r in packed) >= len(single)
+    names = ["near", "code", "mask", "source"]
+    frame = spark.createDataFrame([tuple(r[c] for c in names) for r in packed], toxicity._PAIR_COUNTS)
+    assert sorted(map(tuple, toxicity._decoded(frame).collect())) == sorted(rows)
+
+
 def test_ids_of_text_and_clashing_names(spark):
     rows, labels = polluted()
     docs = docs_of(spark, rows).selectExpr("concat('d', doc_id) doc_id", "text", "lang", "1 toxicity", "2 labelled_id", "3 kind", "4 c0", "5 may")
