@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Runs of letters; digits, marks and underscores separate words.
 WORD = re.compile(r"[^\W\d_]+")
 _NO_LETTER = re.compile(r"[\W\d_]")
+#: The Latin-1 letters as they are, a blank for every other byte.
+_LATIN_LETTERS = bytes(c if WORD.fullmatch(chr(c)) else ord(" ") for c in range(256))
 #: Characters of a text that are split into words at once.
 PIECE_CHARS = 1 << 20
 #: Texts that a Python worker gets at once.
@@ -133,8 +135,14 @@ def hash60(*columns: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words of a text; none for null."""
-    return WORD.findall(text.lower()) if text else []
+    """Lower-case words of a text; none for null. A text of Latin-1 only is split by a table of its letters, which is faster."""
+    if not text:
+        return []
+    lower = text.lower()
+    try:
+        return lower.encode("latin-1").translate(_LATIN_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(lower)
 
 
 def word_pieces(text: str | None) -> Iterator[list[str]]:
@@ -144,7 +152,7 @@ def word_pieces(text: str | None) -> Iterator[list[str]]:
         end = at + PIECE_CHARS
         found = _NO_LETTER.search(text, end) if end < size else None
         end = found.start() if found else size
-        yield WORD.findall(text[at:end].lower())
+        yield words_of(text[at:end])
         at = end
 
 

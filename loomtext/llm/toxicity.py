@@ -552,7 +552,7 @@ def induce_lexicon(
     support: int = 3,
     steps: int = 4,
     restart: float = 0.2,
-    rings: int = 2,
+    rings: int | None = None,
 ) -> tuple[DataFrame, dict[str, int]]:
     """((lang, word, polarity), labelled sample): polarity weights from walks over the word graph.
 
@@ -560,8 +560,9 @@ def induce_lexicon(
     shifted positive pointwise mutual information of two words in blocks of
     ``block`` words. Repeats of a passage count once, by their contexts. Rows of
     the graph are made for the seeds of both kinds, then, ring by ring, for all
-    words that they reach: ``rings`` of them, each a scan of the texts, beyond
-    which words have only the edges back; as many as ``steps`` make the walks whole. Two walks of ``steps`` steps that restart at the
+    words that they reach: ``rings`` of them, each a scan of the texts or more, beyond
+    which words have only the edges back. None is as many as ``steps``: every word that
+    a walk leaves has its row then. Two walks of ``steps`` steps that restart at the
     toxic or the clean seeds leave masses ``p`` and ``q`` at each word; its
     polarity is ``(p - q) / (p + q + e)``, with ``e`` a tenth of the restart mass
     of a toxic seed.
@@ -585,6 +586,7 @@ def induce_lexicon(
         )
         edges, done = None, seed_rows.select("id")
         fresh = done
+        rings = steps if rings is None else rings
         for ring in range(rings):
             own = cut(_edges(docs, words, fresh, usual, frequent, block, support, folder), f"edges-{ring}", folder)
             edges = own if edges is None else edges.unionByName(own)

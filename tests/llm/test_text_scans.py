@@ -418,6 +418,22 @@ def test_seeds_edges_walks_and_scores_equal_brute_force(spark, rings):
         assert scored[i] == best / 1e6
 
 
+def test_by_default_the_graph_has_a_row_for_each_word_that_a_walk_leaves(spark):
+    rows, labels = passages()
+    known = spark.createDataFrame(sorted(labels.items()), "doc_id bigint, toxic int")
+    near, far = (brute_lexicon(rows, labels, rings=k) for k in (2, 4))
+    assert far[2].keys() > near[2].keys() and far[3] != near[3]
+    got = {r["word"]: r["polarity"] for r in toxicity.induce_lexicon(docs_of(spark, rows), known, block=16)[0].collect()}
+    assert got.keys() == far[3].keys() and all(abs(got[w] - far[3][w]) < 2e-6 for w in got)
+
+
+def test_words_by_table_equal_words_by_expression():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    texts = [*every[:0x3000], "".join(every[:256]), "".join(every), *["".join(rng.choices(every[:k], k=40)) for k in (128, 256, 0x180) for _ in range(200)]]
+    assert all(common.words_of(t) == common.WORD.findall(t.lower()) for t in texts)
+
+
 def test_partial_counts_and_slices_change_nothing(spark, monkeypatch):
     rows, labels = passages()
     known = spark.createDataFrame(sorted(labels.items()), "doc_id bigint, toxic int")
