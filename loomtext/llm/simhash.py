@@ -133,20 +133,16 @@ def _flipped(value: Column, width: int) -> Column:
     return F.transform(flips, lambda x: value.bitwiseXOR(x))
 
 
-def _ball_keys(prints: DataFrame, segments: int) -> DataFrame:
-    """(key, high, low): a table entry for each point of the ball of radius 1 in each segment."""
-    parts = []
-    for i, (start, width) in enumerate(segment_bounds(segments)):
-        mask = (1 << width) - 1
-        if start >= 64:
-            value = F.shiftrightunsigned("high", start - 64)
-        elif start + width <= 64:
-            value = F.shiftrightunsigned("low", start)
-        else:
-            value = F.shiftrightunsigned("low", start).bitwiseOR(F.shiftleft("high", 64 - start))
-        value = value.bitwiseAND(F.lit(mask).cast("bigint"))
-        parts.append(_flipped(value.bitwiseOR(F.lit(i << 56).cast("bigint")), width))
-    return prints.select(F.explode(F.concat(*parts)).alias("key"), "high", "low")
+def _ball_keys(prints: DataFrame, start: int, width: int) -> DataFrame:
+    """(key, high, low): a table entry for each point of the ball of radius 1 in the segment of ``width`` bits from ``start``."""
+    if start >= 64:
+        value = F.shiftrightunsigned("high", start - 64)
+    elif start + width <= 64:
+        value = F.shiftrightunsigned("low", start)
+    else:
+        value = F.shiftrightunsigned("low", start).bitwiseOR(F.shiftleft("high", 64 - start))
+    value = value.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    return prints.select(F.explode(_flipped(value, width)).alias("key"), "high", "low")
 
 
 def _forest(high: np.ndarray, low: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -229,11 +225,14 @@ def near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
     with scratch(docs.sparkSession) as folder:
         prints = cut(fingerprints(docs, document_weights(docs)), "fingerprints")
         distinct = cut(prints.groupBy("high", "low").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-        sorted_keys = _ball_keys(distinct, segments)
-        sorted_keys = sorted_keys.repartition("key").sortWithinPartitions("key")
-        near = sorted_keys.mapInArrow(
-            _match(3 * segments - 1), "high_a bigint, low_a bigint, high_b bigint, low_b bigint"
-        ).distinct()
+        near = None
+        for start, width in segment_bounds(segments):
+            # one table at a time: its shuffle files go before the next one's are written
+            sorted_keys = _ball_keys(distinct, start, width).repartition("key").sortWithinPartitions("key")
+            met = sorted_keys.mapInArrow(_match(3 * segments - 1), "high_a bigint, low_a bigint, high_b bigint, low_b bigint")
+            part = cut(met, "near-fingerprints", folder)
+            near = part if near is None else near.unionByName(part)
+        near = near.distinct()
         side = lambda x: distinct.select(F.col("high").alias(f"high_{x}"), F.col("low").alias(f"low_{x}"), F.col("first").alias(x))
         edges = cut(near.join(side("a"), ["high_a", "low_a"]).join(side("b"), ["high_b", "low_b"]).select("a", "b"), "near-pairs", folder)
         roots = cut(components(edges, folder), "roots")

@@ -25,6 +25,9 @@ HELD_LIMIT = 1 << 22
 FILTER_BITS = 1 << 25
 #: Source words of one scan, and lexicon words of one scoring pass; more take more passes.
 SCAN_SOURCES, HELD_LEXICON = 100_000, 500_000
+#: Pairs that one scan lists, as a share of the different words of all blocks, or this many if that is more: what it shuffles follows
+#: the input, however many words a ring has. More pairs take more scans.
+SCAN_SHARE, SCAN_PAIRS = 0.5, 5_000_000
 CONTEXT_BITS = 62
 #: Weights and scores are whole numbers of this part, so that a sum doesn't depend on its order.
 UNIT = 1_000_000
@@ -385,6 +388,31 @@ def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent:
     return run
 
 
+def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, frozenset[str]]]:
+    """The source words of each scan, by language; one scan at least.
+
+    A scan has SCAN_SOURCES words and SCAN_SHARE of pairs at most, or one word. A word
+    is taken to have as many pairs as its blocks have words on average.
+    """
+    totals = {r["lang"]: (r["n"], r["squares"] / r["n"]) for r in words.where("word = '' and n > 0").collect()}
+    most = max(SCAN_PAIRS, SCAN_SHARE * sum(n for n, _ in totals.values()))
+    parts, given = max(1, -(-sources.count() // SCAN_SOURCES)), False
+    for k in range(parts):
+        some = sources.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).join(words.select("id", "lang", "word", "n"), "id")
+        scans: list[tuple[float, dict[str, set[str]]]] = []
+        for r in sorted(some.collect(), key=lambda r: (-r["n"], r["lang"], r["word"])):
+            pairs = r["n"] * totals[r["lang"]][1]
+            at = next((i for i, (held, _) in enumerate(scans) if held + pairs <= most), len(scans))
+            held, own = scans[at] if at < len(scans) else (0.0, {})
+            own.setdefault(r["lang"], set()).add(r["word"])
+            scans[at : at + 1] = [(held + pairs, own)]
+        for _, own in scans:
+            given = True
+            yield {lang: frozenset(found) for lang, found in own.items()}
+    if not given:
+        yield {}
+
+
 def _edges(
     docs: DataFrame, words: DataFrame, sources: DataFrame, usual: np.ndarray, frequent: np.ndarray, block: int, support: int, folder: str
 ) -> DataFrame:
@@ -394,18 +422,14 @@ def _edges(
     has. Kept are pairs in ``support`` contexts at least, at twice chance or more,
     whose log-likelihood ratio passes ``3 + log(pairs)``, of all pairs that occur, so
     that chance makes about as few edges in a large corpus as in a small one.
-    ``sources`` (id) is a written table, read SCAN_SOURCES at a time, a scan of the texts each.
+    ``sources`` (id) is a written table, read in the parts of :func:`_scans`, a scan of the texts each.
     """
-    scans = max(1, -(-sources.count() // SCAN_SOURCES))
     found, pairs = None, 0
-    for k in range(scans):
-        some: dict[str, set[str]] = {}
-        for r in sources.where(F.pmod(F.xxhash64("id"), F.lit(scans)) == k).join(words.select("id", "lang", "word"), "id").collect():
-            some.setdefault(r["lang"], set()).add(r["word"])
+    for some in _scans(sources, words):
         seen = Observation()
         counted = (
             docs.select(_language(docs), "text")
-            .mapInArrow(_coded(_near_words({k: frozenset(v) for k, v in some.items()}, usual, frequent, block)), _PAIR_COUNTS)
+            .mapInArrow(_coded(_near_words(some, usual, frequent, block)), _PAIR_COUNTS)
             .repartition("source", "near")
             .transform(_decoded)
             .groupBy("source", "near")

@@ -69,6 +69,22 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in gone)
 
 
+def test_one_table_of_fingerprints_is_shuffled_at_a_time(spark, monkeypatch):
+    rows, sizes, cut = fixture(), [], simhash.cut
+
+    def noted(df, name, *a):
+        plan = df._jdf.queryExecution().logical().toString()
+        sizes.append(plan.count("RepartitionByExpression"))
+        return cut(df, name, *a)
+
+    ball = simhash._ball_keys
+    most = []
+    monkeypatch.setattr(simhash, "cut", noted)
+    monkeypatch.setattr(simhash, "_ball_keys", lambda prints, *a: most.append(ball(prints, *a).count() / prints.count()) or ball(prints, *a))
+    assert dict(tuple(r) for r in simhash.near_duplicates(docs_of(spark, rows)).collect()) == brute_groups(spark, rows)
+    assert len(most) == sum(sizes) == 6 and max(sizes) == 1 and max(most) <= 23
+
+
 def test_no_documents_no_duplicates(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(docs_of(spark, [(1, None)])).count() == 1

@@ -434,6 +434,20 @@ def test_words_by_table_equal_words_by_expression():
     assert all(common.words_of(t) == common.WORD.findall(t.lower()) for t in texts)
 
 
+def test_no_scan_lists_more_pairs_than_its_share(spark, monkeypatch):
+    rows, labels = passages()
+    docs, known = docs_of(spark, rows), spark.createDataFrame(sorted(labels.items()), "doc_id bigint, toxic int")
+    whole = sorted(map(tuple, toxicity.induce_lexicon(docs, known, block=16)[0].collect()))
+    blocks = [set(t.split()[a : a + 16]) for _, t in rows for a in range(0, len(t.split()), 16)]
+    listed, near_words = [], toxicity._near_words
+    monkeypatch.setattr(toxicity, "SCAN_PAIRS", 10)
+    monkeypatch.setattr(toxicity, "SCAN_SHARE", 0.2)
+    monkeypatch.setattr(toxicity, "_near_words", lambda sources, *a: listed.append(sources["en"]) or near_words(sources, *a))
+    assert sorted(map(tuple, toxicity.induce_lexicon(docs, known, block=16)[0].collect())) == whole
+    most = max(len(own) > 1 and sum(len(b) * len(b & own) for b in blocks) for own in listed)
+    assert len(listed) > 8 and most <= 1.05 * 0.2 * sum(map(len, blocks))
+
+
 def test_partial_counts_and_slices_change_nothing(spark, monkeypatch):
     rows, labels = passages()
     known = spark.createDataFrame(sorted(labels.items()), "doc_id bigint, toxic int")
