@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bitmap_of, cut, may_be_among, scratch, type_of, words_of
+from loomtext.llm.common import bitmap_of, cut, freeing, may_be_among, scratch, small_batches, type_of, words_of
 from loomtext.llm.groups import components
 
 BITS = 128
@@ -72,7 +72,7 @@ def document_weights(docs: DataFrame) -> np.ndarray:
     """
     rows = (
         docs.select("text")
-        .mapInArrow(_count_frequencies, "bucket int, n bigint")
+        .mapInArrow(freeing(_count_frequencies), "bucket int, n bigint")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 names=["doc_id", "high", "low"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, high bigint, low bigint")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {type_of(docs, 'doc_id')}, high bigint, low bigint")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
         for start, width in segment_bounds(segments):
             # one table at a time: its shuffle files go before the next one's are written
             sorted_keys = _ball_keys(distinct, start, width).repartition("key").sortWithinPartitions("key")
-            met = sorted_keys.mapInArrow(_match(3 * segments - 1), "high_a bigint, low_a bigint, high_b bigint, low_b bigint")
+            met = sorted_keys.mapInArrow(freeing(_match(3 * segments - 1)), "high_a bigint, low_a bigint, high_b bigint, low_b bigint")
             part = cut(met, "near-fingerprints", folder)
             near = part if near is None else near.unionByName(part)
         near = near.distinct()
@@ -252,6 +252,7 @@ def drop_near_duplicates(docs: DataFrame, segments: int = 6) -> DataFrame:
     stay or go together. A row without a doc_id stays. Only rows that a bitmap of fixed size
     can't tell from duplicates are shuffled. Other cases as in :func:`near_duplicates`.
     """
+    small_batches(docs.sparkSession)
     gone = cut(near_duplicates(docs, segments).select(F.col("doc_id").alias("id")), "gone-documents")
     may = may_be_among(docs.sparkSession, bitmap_of(gone.select(F.xxhash64("id").alias("hash")), "hash", GONE_BITS))
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import common
-from loomtext.llm.common import bitmap_of, broadcast_if_small, cut, free_name, has_bit, hash60, scratch, word_pieces
+from loomtext.llm.common import (
+    bitmap_of, broadcast_if_small, cut, free_name, freeing, has_bit, hash60, scratch, small_batches, word_pieces
+)
 
 #: Words that a task takes from texts at once, pairs that it lists at once, different words that it holds, rows it takes from a batch.
 CHUNK_WORDS, LISTED_PAIRS, HELD_WORDS, HELD_PAIRS, SLICE = 100_000, 150_000, 150_000, 500_000, 128
@@ -429,7 +431,7 @@ def _edges(
         seen = Observation()
         counted = (
             docs.select(_language(docs), "text")
-            .mapInArrow(_coded(_near_words(some, usual, frequent, block)), _PAIR_COUNTS)
+            .mapInArrow(freeing(_coded(_near_words(some, usual, frequent, block))), _PAIR_COUNTS)
             .repartition("source", "near")
             .transform(_decoded)
             .groupBy("source", "near")
@@ -596,7 +598,7 @@ def induce_lexicon(
     with scratch(spark) as folder:
         known = docs.select(F.col("doc_id").cast("string").alias("labelled_id"), _language(docs), "text")
         known = known.join(_sample_rows(spark, sample), "labelled_id", "left").select("kind", "lang", "text")
-        counted = known.mapInArrow(_count_words(block), _WORD_COUNTS)
+        counted = known.mapInArrow(freeing(_count_words(block)), _WORD_COUNTS)
         sums = [F.sum(c).alias(c) for c in ("n", "squares", "clean", "toxic")]
         words = cut(
             counted.groupBy("lang", "word").agg(*sums, F.bit_or("mask").alias("mask")).select(_id_column().alias("id"), "*"), "words", folder
@@ -740,6 +742,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     rows stay or go together, as their texts are the same. An empty table stays empty. Columns
     may have any names.
     """
+    small_batches(docs.sparkSession)
     lexicon, threshold = _fitted(docs, labels, options)
     score = free_name(docs, "toxicity")
     return score_documents(docs, lexicon, score).where(F.col(score) < threshold).drop(score)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -96,6 +97,16 @@ def test_an_empty_table_gives_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.toxic_filter, corpus_pipeline.near_dedup, corpus_pipeline.redact])
+def test_what_a_stage_returns_is_computed_in_small_batches(spark, tmp_path, stage):
+    rows, labels, *_ = corpus()
+    folder = written(spark, tmp_path, rows, labels)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    sizes = spark.range(0, 2000, 1, 1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint")
+    assert max(r["n"] for r in sizes.collect()) <= common.BATCH_ROWS
+
+
 def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
