@@ -30,6 +30,8 @@ SCAN_SOURCES, HELD_LEXICON = 100_000, 500_000
 #: Pairs that one scan lists, as a share of the different words of all blocks, or this many if that is more: what it shuffles follows
 #: the input, however many words a ring has. More pairs take more scans.
 SCAN_SHARE, SCAN_PAIRS = 0.5, 5_000_000
+#: A scan for the words of so many languages reads only texts of these.
+FILTERED_LANGUAGES = 50
 CONTEXT_BITS = 62
 #: Weights and scores are whole numbers of this part, so that a sum doesn't depend on its order.
 UNIT = 1_000_000
@@ -390,8 +392,8 @@ def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent:
     return run
 
 
-def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, frozenset[str]]]:
-    """The source words of each scan, by language; one scan at least.
+def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, set[str]]]:
+    """The source words of each scan, by language; one scan at least. Those of a language follow one another, so that most scans need few.
 
     A scan has SCAN_SOURCES words and SCAN_SHARE of pairs at most, or one word. A word
     is taken to have as many pairs as its blocks have words on average.
@@ -401,16 +403,17 @@ def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, frozenset
     parts, given = max(1, -(-sources.count() // SCAN_SOURCES)), False
     for k in range(parts):
         some = sources.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).join(words.select("id", "lang", "word", "n"), "id")
-        scans: list[tuple[float, dict[str, set[str]]]] = []
-        for r in sorted(some.collect(), key=lambda r: (-r["n"], r["lang"], r["word"])):
+        held, own = 0.0, {}
+        for r in sorted(some.collect(), key=lambda r: (r["lang"], r["word"])):
             pairs = r["n"] * totals[r["lang"]][1]
-            at = next((i for i, (held, _) in enumerate(scans) if held + pairs <= most), len(scans))
-            held, own = scans[at] if at < len(scans) else (0.0, {})
+            if own and held + pairs > most:
+                yield own
+                held, own = 0.0, {}
+            held += pairs
             own.setdefault(r["lang"], set()).add(r["word"])
-            scans[at : at + 1] = [(held + pairs, own)]
-        for _, own in scans:
+        if own:
             given = True
-            yield {lang: frozenset(found) for lang, found in own.items()}
+            yield own
     if not given:
         yield {}
 
@@ -429,8 +432,9 @@ def _edges(
     found, pairs = None, 0
     for some in _scans(sources, words):
         seen = Observation()
+        texts = docs.select(_language(docs), "text")
         counted = (
-            docs.select(_language(docs), "text")
+            (texts.where(F.col("lang").isin(sorted(some))) if 0 < len(some) <= FILTERED_LANGUAGES else texts)
             .mapInArrow(freeing(_coded(_near_words(some, usual, frequent, block))), _PAIR_COUNTS)
             .repartition("source", "near")
             .transform(_decoded)
