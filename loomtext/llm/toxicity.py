@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import common
@@ -28,8 +28,16 @@ FILTER_BITS = 1 << 25
 #: Source words of one scan, and lexicon words of one scoring pass; more take more passes.
 SCAN_SOURCES, HELD_LEXICON = 100_000, 500_000
 #: Pairs that one scan lists, as a share of the different words of all blocks, or this many if that is more: what it shuffles follows
-#: the input, however many words a ring has. More pairs take more scans.
-SCAN_SHARE, SCAN_PAIRS = 0.5, 5_000_000
+#: the input, however many words a ring has. More pairs take more scans. Most pairs are shuffled as some two bytes of a sketch only.
+SCAN_SHARE, SCAN_PAIRS = 2.0, 5_000_000
+#: Bits of a cell of the sketch of pairs and of a region of cells, which is added up in one place; the sketch has the same size for any corpus.
+CELL_BITS, REGION_BITS = 26, 18
+#: Counts of which a pair needs one at least to be an edge; the sketch adds up the pairs of each by themselves.
+NEEDS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 24, 34, 50, 80, 140, 300])
+#: Bits of the table of the words' least counts (in steps of the square root of 2); its size is the same for any corpus.
+LEAST_BITS, LEAST_STEPS = 22, 64
+#: A ring is taken to have so many different pairs for each that it lists; where it has fewer, it is scanned again.
+DISTINCT_SHARE = 1 / 16
 #: A scan for the words of so many languages reads only texts of these.
 FILTERED_LANGUAGES = 50
 CONTEXT_BITS = 62
@@ -321,16 +329,139 @@ def _decoded(coded: DataFrame) -> DataFrame:
     return coded.select("source", "near", F.shiftright("code", 6).alias("n"), mask.alias("mask"))
 
 
-def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent: np.ndarray, block: int):
-    """(source, near, n, mask): ids of words, the blocks that have both, and contexts of the second in them.
+def least_counts(words: DataFrame, support: int) -> np.ndarray:
+    """By the low bits of an id, the step of the least ``n`` of the words that share them, of those in ``support`` blocks at least."""
+    slot = F.col("id").bitwiseAND(F.lit((1 << LEAST_BITS) - 1).cast("bigint")).cast("int")
+    step = F.least(F.floor(2 * F.log2("n")), F.lit(LEAST_STEPS - 1)).cast("tinyint")
+    held = words.where((F.col("word") != "") & (F.col("n") >= support)).groupBy(slot.alias("slot")).agg(F.min(step).alias("step")).toArrow()
+    out = np.zeros(1 << LEAST_BITS, np.uint8)
+    out[held["slot"].to_numpy()] = held["step"].to_numpy()
+    return out
+
+
+class PairCells:
+    """The cell of a pair in a sketch, and the class in NEEDS of the blocks that it needs to be an edge.
 
-    ``sources`` has words by language. ``usual`` are ordered ids of words that are near to none.
+    What chance would give is at least the product of the source's count, which is known, the least count that the near
+    word may have, and ``meet``. The near word is also in no fewer blocks than the pair.
     """
 
+    def __init__(self, sources: Mapping[str, Mapping[str, int]], meet: Mapping[str, float], steps: np.ndarray, support: int, least: float) -> None:
+        known = sorted((word_id(lang, w), n * meet[lang]) for lang, own in sources.items() for w, n in own.items())
+        self.ids, self.steps = np.array([i for i, _ in known], np.int64), steps
+        share = np.array([x for _, x in known], np.float64)[:, None]
+        floor = 2.0 ** (np.arange(LEAST_STEPS) / 2)[None, :] * (1 - 1e-9)
+        self.needs = np.full((len(known), LEAST_STEPS), -1, np.int8)
+        for n in NEEDS - 1:
+            chance = np.maximum(share * np.maximum(floor, n), 1e-300)
+            with np.errstate(divide="ignore"):
+                ratio = n * np.log(np.maximum(n, 1e-300) / chance) - (n - chance)
+            self.needs += ~((n >= support) & (n >= 2 * chance * (1 - 1e-9)) & (ratio >= least - 1e-6))
+
+    def __getstate__(self) -> tuple:
+        """Packed, as each scan sends it to every worker by way of their disks."""
+        return self.ids, self.needs.shape, *[pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (self.needs, self.steps)], len(self.steps)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ids, shape, needs, steps, size = state
+        self.needs = np.frombuffer(pa.decompress(needs, shape[0] * shape[1], "zstd", asbytes=True), np.int8).reshape(shape)
+        self.steps = np.frombuffer(pa.decompress(steps, size, "zstd", asbytes=True), np.uint8)
+
+    def keys(self, ids: np.ndarray):
+        """A function of the numbers of sources and near words that gives cell and class in one number."""
+        own = ids.view(np.uint64)
+        left_mix, right_mix = own * np.uint64(0x9E3779B97F4A7C15), own * np.uint64(0xC2B2AE3D27D4EB4F)
+        row = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        step = self.steps[ids & (len(self.steps) - 1)]
+
+        def of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            mixed = left_mix[left] ^ right_mix[right]
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            return (mixed >> np.uint64(64 - CELL_BITS)).astype(np.int64) << 4 | self.needs[row[left], step[right]]
+
+        return of
+
+
+_CELLS = "region int, entries int, packed binary"
+_SKETCH = "region int, passing binary, used binary"
+
+
+def pack_cells(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Ordered keys with their counts, region by region: steps from key to key in two bytes (a longer one has entries of no count), then counts."""
+    width = REGION_BITS + 4
+    regions, starts = np.unique(keys >> width, return_index=True)
+    rows = []
+    for region, a, b in zip(regions.tolist(), starts, np.append(starts[1:], len(keys))):
+        steps = np.diff(keys[a:b], prepend=region << width)
+        ends = np.cumsum(steps // 0xFFFF + 1)
+        gaps, held = np.full(ends[-1], 0xFFFF, np.uint16), np.zeros(ends[-1], np.uint32)
+        gaps[ends - 1], held[ends - 1] = steps % 0xFFFF, counts[a:b]
+        rows.append((region, len(gaps), pa.compress(gaps.tobytes() + held.tobytes(), "zstd", asbytes=True)))
+    columns = list(zip(*rows)) if rows else [[]] * 3
+    return pa.record_batch(
+        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["region", "entries", "packed"]
+    )
+
+
+def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, passing, used): bits of the cells in which the pairs of some class come to what it needs, and used cells by class; rows come by region."""
+    at, tables, waiting = None, [], 0
+
+    def add_up() -> None:
+        nonlocal waiting
+        tables[:] = [_summed(tables)]
+        waiting = 0
+
+    def out() -> pa.RecordBatch:
+        add_up()
+        key, n, _ = tables[0]
+        bits = np.zeros(1 << REGION_BITS, bool)
+        bits[(key[n >= NEEDS[key & 15]] >> 4)] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        used = np.bincount(key & 15, minlength=len(NEEDS)).astype(np.int64).tobytes()
+        tables.clear()
+        return pa.record_batch([pa.array([at], pa.int32()), pa.array([packed], pa.binary()), pa.array([used], pa.binary())], names=["region", "passing", "used"])
+
+    for batch in batches:
+        for region, n, packed in zip(*[c.to_pylist() for c in batch.columns]):
+            if region != at and at is not None:
+                yield out()
+            at = region
+            whole = pa.decompress(packed, n * 6, "zstd", asbytes=True)
+            key, held = np.cumsum(np.frombuffer(whole, np.uint16, n), dtype=np.int64), np.frombuffer(whole, np.uint32, n, 2 * n)
+            real = held > 0
+            tables.append((key[real], held[real].astype(np.int64), np.zeros(int(real.sum()), np.uint8)))
+            waiting += n
+            if waiting >= max(HELD_PAIRS, len(tables[0][0])):
+                add_up()
+    if at is not None:
+        yield out()
+
+
+def _read_sketch(sketch: DataFrame) -> tuple[bytes, int]:
+    """(packed bits of the cells that have a pair which may be an edge, different pairs), the latter by the share of used cells of each class."""
+    rows = sketch.toArrow()
+    bits, used = np.zeros(1 << CELL_BITS - 3, np.uint8), np.zeros(len(NEEDS), np.int64)
+    size = 1 << REGION_BITS - 3
+    for region, own, cells in zip(*[rows[c].to_pylist() for c in ("region", "passing", "used")]):
+        bits[region * size : (region + 1) * size] = np.frombuffer(own, np.uint8)
+        used += np.frombuffer(cells, np.int64)
+    cells = 1 << CELL_BITS
+    return pa.compress(bits.tobytes(), "zstd", asbytes=True), round(-cells * float(np.log1p(-np.minimum(used, cells - 1) / cells).sum()))
+
+
+def _listed(
+    sources: dict[str, frozenset[str]], usual: np.ndarray, frequent: np.ndarray, block: int, cells: PairCells | None, passing: bytes | None
+):
+    """What :func:`_near_words` gives; with ``cells`` but no ``passing`` the pairs' cells, as :func:`pack_cells` has them."""
+    sketched = cells is not None and passing is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, parts, waiting = Book(), [], 0
         ids_of_sources = np.sort(np.array([word_id(lang, w) for lang, own in sources.items() for w in own], np.int64))
         tables: list[tuple[np.ndarray, ...]] = []
+        may_pass = None if passing is None else np.frombuffer(pa.decompress(passing, 1 << CELL_BITS - 3, "zstd", asbytes=True), np.uint8)
 
         def add() -> None:
             nonlocal parts, waiting
@@ -347,15 +478,22 @@ def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent:
             first = np.searchsorted(blocks[near], blocks[own], "left")
             each = np.searchsorted(blocks[near], blocks[own], "right") - first
             upto = np.cumsum(each)
+            keys = cells.keys(ids) if cells is not None else None
             a = 0
             while a < len(own):
                 b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LISTED_PAIRS, "right")))
                 n = each[a:b]
                 other = near[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:b], n)]
                 left, right = np.repeat(numbers[own[a:b]], n), numbers[other]
-                apart = left != right
-                key = (left * HELD_LIMIT + right)[apart]
-                tables.append(_summed([(key, np.ones(len(key), np.int64), bits[other][apart])]))
+                taken = left != right
+                if sketched:
+                    key = keys(left[taken], right[taken])
+                    tables.append(_summed([(key, np.ones(len(key), np.int64), np.zeros(len(key), np.uint8))]))
+                else:
+                    if keys is not None:
+                        taken &= has_bit(may_pass, keys(left, right) >> 4)
+                    key = (left * HELD_LIMIT + right)[taken]
+                    tables.append(_summed([(key, np.ones(len(key), np.int64), bits[other][taken])]))
                 a = b
             if sum(len(t[0]) for t in tables[1:]) >= HELD_PAIRS // 2:
                 tables[:] = [_summed(tables)]
@@ -364,6 +502,9 @@ def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent:
         def flush() -> pa.RecordBatch:
             add()
             key, n, mask = _summed(tables) if tables else (_NO_IDS, _NO_IDS, _NO_IDS)
+            if sketched:
+                tables.clear()
+                return pack_cells(key, n)
             ids = book.id_array()
             columns = [ids[key // HELD_LIMIT], ids[key % HELD_LIMIT], n, mask.view(np.int64)]
             tables.clear()
@@ -392,8 +533,29 @@ def _near_words(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent:
     return run
 
 
-def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, set[str]]]:
-    """The source words of each scan, by language; one scan at least. Those of a language follow one another, so that most scans need few.
+def _near_words(
+    sources: dict[str, frozenset[str]],
+    usual: np.ndarray,
+    frequent: np.ndarray,
+    block: int,
+    cells: PairCells | None = None,
+    passing: bytes | None = None,
+):
+    """(source, near, n, mask): ids of words, the blocks that have both, and contexts of the second in them.
+
+    ``sources`` has words by language. ``usual`` are ordered ids of words that are near to none. With ``cells`` and
+    ``passing`` only pairs in a cell with its bit set.
+    """
+    return _listed(sources, usual, frequent, block, cells, passing)
+
+
+def _pair_cells(sources: dict[str, frozenset[str]], usual: np.ndarray, frequent: np.ndarray, block: int, cells: PairCells):
+    """All pairs of :func:`_near_words`, as counts of their cells."""
+    return _listed(sources, usual, frequent, block, cells, None)
+
+
+def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, dict[str, int]]]:
+    """The source words of each scan with their counts, by language; one scan at least. Those of a language follow one another, so that most scans need few.
 
     A scan has SCAN_SOURCES words and SCAN_SHARE of pairs at most, or one word. A word
     is taken to have as many pairs as its blocks have words on average.
@@ -410,7 +572,7 @@ def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, set[str]]
                 yield own
                 held, own = 0.0, {}
             held += pairs
-            own.setdefault(r["lang"], set()).add(r["word"])
+            own.setdefault(r["lang"], {})[r["word"]] = r["n"]
         if own:
             given = True
             yield own
@@ -418,35 +580,72 @@ def _scans(sources: DataFrame, words: DataFrame) -> Iterator[dict[str, set[str]]
         yield {}
 
 
-def _edges(
-    docs: DataFrame, words: DataFrame, sources: DataFrame, usual: np.ndarray, frequent: np.ndarray, block: int, support: int, folder: str
-) -> DataFrame:
-    """(source, near, weight): shifted positive pointwise mutual information with each source.
-
-    What chance would give is taken within the language, with the words a block
-    has. Kept are pairs in ``support`` contexts at least, at twice chance or more,
-    whose log-likelihood ratio passes ``3 + log(pairs)``, of all pairs that occur, so
-    that chance makes about as few edges in a large corpus as in a small one.
-    ``sources`` (id) is a written table, read in the parts of :func:`_scans`, a scan of the texts each.
-    """
+def _counted_pairs(
+    docs: DataFrame,
+    words: DataFrame,
+    sources: DataFrame,
+    usual: np.ndarray,
+    frequent: np.ndarray,
+    steps: np.ndarray,
+    block: int,
+    support: int,
+    folder: str,
+    assumed: float,
+) -> tuple[DataFrame, int]:
+    """((source, near, n) of all pairs that may be edges, different pairs of all) where these are ``assumed`` at least."""
+    meet = {r["lang"]: r["squares"] / r["n"] / r["n"] for r in words.where("word = '' and n > 0").collect()}
     found, pairs = None, 0
-    for some in _scans(sources, words):
-        seen = Observation()
+    for held in _scans(sources, words):
+        some = {lang: frozenset(own) for lang, own in held.items()}
+        cells = PairCells(held, meet, steps, support, 3.0 + math.log(max(1.0, assumed)))
         texts = docs.select(_language(docs), "text")
+        texts = texts.where(F.col("lang").isin(sorted(some))) if 0 < len(some) <= FILTERED_LANGUAGES else texts
+        packed = texts.mapInArrow(freeing(_pair_cells(some, usual, frequent, block, cells)), _CELLS)
+        sketch = packed.repartition("region").sortWithinPartitions("region").mapInArrow(freeing(_add_cells), _SKETCH)
+        passing, n = _read_sketch(cut(sketch, "pair-cells", folder))
+        pairs += n
         counted = (
-            (texts.where(F.col("lang").isin(sorted(some))) if 0 < len(some) <= FILTERED_LANGUAGES else texts)
-            .mapInArrow(freeing(_coded(_near_words(some, usual, frequent, block))), _PAIR_COUNTS)
+            texts.mapInArrow(freeing(_coded(_near_words(some, usual, frequent, block, cells, passing))), _PAIR_COUNTS)
             .repartition("source", "near")
             .transform(_decoded)
             .groupBy("source", "near")
             .agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
-            .observe(seen, F.count(F.lit(1)).alias("pairs"))
             .select("source", "near", _contexts(F.col("n"), F.col("mask")).alias("n"))
             .where(F.col("n") >= support)
         )
         part = cut(counted, "near-words", folder)
-        pairs += seen.get["pairs"]
         found = part if found is None else found.unionByName(part)
+    return found, pairs
+
+
+def _edges(
+    docs: DataFrame,
+    words: DataFrame,
+    sources: DataFrame,
+    usual: np.ndarray,
+    frequent: np.ndarray,
+    steps: np.ndarray,
+    block: int,
+    support: int,
+    folder: str,
+) -> DataFrame:
+    """(source, near, weight): shifted positive pointwise mutual information with each source.
+
+    What chance would give is taken within the language, with the words a block
+    has. Kept are pairs in ``support`` contexts at least, at twice chance or more,
+    whose log-likelihood ratio passes ``3 + log(pairs)``, of all pairs that occur, so
+    that chance makes about as few edges in a large corpus as in a small one.
+    ``sources`` (id) is a written table, read in the parts of :func:`_scans`, two scans of the texts each: the first adds
+    up all pairs in the cells of a sketch, the second shuffles those whose cell has as many as they need to pass.
+    A cell has no fewer than a pair in it, so none that passes is left out. The sketch also tells how many
+    different pairs occur, to some 1 in 10,000. It needs a number under that beforehand; where that was too large, all is done again.
+    """
+    mean = F.col("squares") / F.col("n")
+    listed = sources.join(words.select("id", "lang", F.col("n").alias("own")), "id").join(F.broadcast(words.where("word = '' and n > 0").select("lang", mean.alias("mean"))), "lang")
+    assumed = DISTINCT_SHARE * (listed.agg(F.sum(F.col("own") * F.col("mean"))).first()[0] or 0.0)
+    found, pairs = _counted_pairs(docs, words, sources, usual, frequent, steps, block, support, folder, assumed)
+    if pairs < assumed:
+        found, pairs = _counted_pairs(docs, words, sources, usual, frequent, steps, block, support, folder, 0.99 * pairs)
     least = 3.0 + math.log(max(1, pairs))
     totals = words.where("word = ''").select("lang", (F.col("squares") / F.col("n") / F.col("n")).alias("meet"))
     source_n = sources.join(words.select("id", F.col("n").alias("source_n")), "id").withColumnRenamed("id", "source")
@@ -610,7 +809,7 @@ def induce_lexicon(
         found = dict(seeds) if seeds is not None else seed_terms(words)
         if not any(s > 0 for s in found.values()):
             return spark.createDataFrame([], "lang string, word string, polarity double"), sample
-        usual, frequent = _common_words(words), frequent_filter(words, support)
+        usual, frequent, least = _common_words(words), frequent_filter(words, support), least_counts(words, support)
         seed_rows = cut(
             spark.createDataFrame([(word_id(*k), k[0], s) for k, s in sorted(found.items())], "id bigint, lang string, kind int"), "seed-rows", folder
         )
@@ -618,7 +817,8 @@ def induce_lexicon(
         fresh = done
         rings = steps if rings is None else rings
         for ring in range(rings):
-            own = cut(_edges(docs, words, fresh, usual, frequent, block, support, folder), f"edges-{ring}", folder)
+            with scratch(spark) as within:
+                own = cut(_edges(docs, words, fresh, usual, frequent, least, block, support, within), f"edges-{ring}", folder)
             edges = own if edges is None else edges.unionByName(own)
             if ring + 1 < rings:
                 fresh = cut(own.select(F.col("near").alias("id")).distinct().join(done, "id", "left_anti"), f"ring-{ring}", folder)

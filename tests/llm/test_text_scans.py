@@ -483,6 +483,83 @@ def test_small_holdings_give_the_same_sums(monkeypatch):
     assert sums() == whole
 
 
+def test_only_pairs_that_may_be_edges_are_shuffled_and_no_edge_is_lost(spark, monkeypatch):
+    rows, labels = passages(n=1200)
+    docs, known = docs_of(spark, rows), spark.createDataFrame(sorted(labels.items()), "doc_id bigint, toxic int")
+    listed, kept, edges = [], [], []
+    cut, counted = toxicity.cut, toxicity._counted_pairs
+
+    def pairs_of(*a):
+        out = counted(*a)
+        listed.append(out[1])
+        return out
+
+    monkeypatch.setattr(toxicity, "_counted_pairs", pairs_of)
+
+    def seen(df, name, *at):
+        out = cut(df, name, *at)
+        if name == "near-words":
+            kept.append(out.count())
+        elif name.startswith("edges-"):
+            edges.extend(map(tuple, out.select("source", "near").collect()))
+        return out
+
+    monkeypatch.setattr(toxicity, "cut", seen)
+    toxicity.induce_lexicon(docs, known, block=16)
+    want = brute_lexicon(rows, labels, rings=4)[2]
+    id_ = lambda w: toxicity.word_id("en", w)
+    assert {frozenset(e) for e in edges} == {frozenset(map(id_, e)) for e in want}
+    assert sum(kept) < sum(listed) / 4
+    # too many pairs assumed: all is scanned again
+    whole, sure = sorted(edges), len(listed)
+    listed.clear(), edges.clear()
+    monkeypatch.setattr(toxicity, "DISTINCT_SHARE", 1e6)
+    toxicity.induce_lexicon(docs, known, block=16)
+    assert sorted(edges) == whole and len(listed) == 2 * sure
+
+
+def test_cells_of_pairs_come_back_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 50)
+    rng = np.random.default_rng(8)
+    width = toxicity.REGION_BITS + 4
+    tables, whole = [], Counter()
+    for _ in range(6):
+        key = np.unique(np.append(rng.integers(0, 3 << width, 90), [0, (1 << width) - 1, 7 << width]))
+        n = rng.integers(1, 60, len(key))
+        n[0] = 1 << 20
+        whole.update(dict(zip(key.tolist(), n.tolist())))
+        tables += toxicity.pack_cells(key, n).to_pylist()
+    names = ["region", "entries", "packed"]
+    batches = [pa.record_batch({c: [r[c]] for c in names}) for r in sorted(tables, key=lambda r: r["region"])]
+    assert toxicity.pack_cells(np.zeros(0, np.int64), np.zeros(0, np.int64)).num_rows == 0
+    got = [r for b in toxicity._add_cells(iter(batches)) for r in b.to_pylist()]
+    bits = {(r["region"] << toxicity.REGION_BITS) + int(i) for r in got for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["passing"], np.uint8), bitorder="little"))}
+    assert bits == {k >> 4 for k, n in whole.items() if n >= toxicity.NEEDS[k & 15]}
+    assert sum(np.frombuffer(r["used"], np.int64).sum() for r in got) == len(whole)
+
+
+def test_a_pair_that_passes_needs_no_more_than_its_class_says():
+    rng = random.Random(6)
+    counts = {f"w{k}": max(3, int(3 * 1.6 ** rng.uniform(0, 24))) for k in range(60)}
+    meet, least, support = 1 / 400_000, 19.5, 3
+    steps = np.zeros(1 << 10, np.uint8)
+    ids = np.array([toxicity.word_id("en", w) for w in counts], np.int64)
+    n = np.array(list(counts.values()))
+    steps[:] = 255
+    np.minimum.at(steps, ids & 1023, np.floor(2 * np.log2(n)).astype(np.uint8))
+    cells = toxicity.PairCells({"en": counts}, {"en": meet}, steps, support, least)
+    tight = 0
+    for a in range(len(n)):
+        needs = toxicity.NEEDS[cells.keys(ids)(np.full(len(n), a), np.arange(len(n))) & 15]
+        for b in range(len(n)):
+            chance = n[a] * n[b] * meet
+            passes = lambda c: c >= support and c > 2 * chance and c * math.log(c / chance) - (c - chance) >= least  # noqa: B023, E731
+            fewest = next((c for c in [*range(3, 2000), 10**4, 10**5, 10**6] if c <= min(n[a], n[b]) and passes(c)), None)
+            assert fewest is None or needs[b] <= fewest
+            tight += needs[b] > 4
+    assert tight > 100
+
+
 def test_packed_pairs_come_back_whole(spark):
     rng = np.random.default_rng(5)
     single = [1 << k for k in range(toxicity.CONTEXT_BITS)]
