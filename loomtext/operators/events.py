@@ -15,6 +15,8 @@ from loomtext.operators import frames, parsing
 from loomtext.operators.segments import split_sentences
 
 PERSONS_SHOWN = 5
+#: More names than a list can hold.
+MOST_NAMES = (1 << 31) - 8
 _FIRST_PERSON = r"(?iU)\b(?:I|I'm|me|my|our|us|we|we're)\b"
 
 
@@ -22,7 +24,7 @@ def event_key(phrase: Column) -> Column:
     return F.substring(F.sha1(F.lower(phrase)), 1, 16)
 
 
-def aggregate_mentions(mentions: DataFrame) -> DataFrame:
+def aggregate_mentions(mentions: DataFrame, evidence: bool = True) -> DataFrame:
     """One row an event: mentions of a file with the same phrase in any case.
 
     ``mentions`` has fileId, ord, segId, canon, sentence, persons, places and
@@ -30,9 +32,11 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
     sentence in order, the first place and date that is known, and the distinct
     persons, of whom the first five are ``persons`` and the rest ``others``.
     Confidence grows from 0.35 by 0.05 a mention and 0.05 for each kind of name in
-    it, up to 1. Blank phrases are no events. One shuffle, by file and phrase.
+    it, up to 1. Blank phrases are no events. One shuffle, by file and phrase; without
+    ``evidence`` the sentences stay out of it, and of the result.
     """
-    per = F.struct("ord", "segId", "canon", "sentence", "persons", "places", "dates")
+    # all of a mention is in one struct, so whatever is asked of the events has the same shuffle and Spark makes it once
+    per = F.struct("ord", "segId", "canon", *(["sentence"] if evidence else []), "persons", "places", "dates")
     grouped = (
         mentions.where(F.coalesce(F.trim("canon"), F.lit("")) != "")
         .withColumn("key", event_key(F.col("canon")))
@@ -49,17 +53,23 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
         F.substring(F.sha1(F.concat_ws("\x01", "fileId", "key")), 1, 32).alias("eventId"),
         F.get("m", F.lit(0))["canon"].alias("event"),
         F.transform("m", lambda x: x["segId"].cast("int")).alias("sources"),
-        F.transform("m", lambda x: x["sentence"]).alias("evidence"),
+        *([F.transform("m", lambda x: x["sentence"]).alias("evidence")] if evidence else []),
         first("places").alias("place"),
         first("dates").alias("date"),
         F.slice("names", 1, PERSONS_SHOWN).alias("persons"),
-        F.slice("names", PERSONS_SHOWN + 1, 1_000_000).alias("others"),
+        F.slice("names", PERSONS_SHOWN + 1, MOST_NAMES).alias("others"),
         F.least(F.lit(1.0), F.round(0.35 + 0.05 * gained, 9)).alias("confidence"),
         F.size("m").alias("count_mentions"),
         F.get("m", F.lit(0))["ord"].alias("ord"),
     )
 
 
+def _in_order(column: str, where: Column | None = None) -> Column:
+    """A group's values of a column, in order of ord; only the rows of ``where``, if given."""
+    one = F.struct("ord", "eventId", F.col(column).alias("value"))
+    return F.transform(F.array_sort(F.collect_list(one if where is None else F.when(where, one))), lambda x: x["value"])
+
+
 def categorized(events: DataFrame, least_mentions: int = 2) -> DataFrame:
     """``events`` with category: major if mentioned often for its file, or if person and place are known."""
     # a maximum and a join: a file's events needn't meet in one task
@@ -125,50 +135,46 @@ def semantic_clusters(vectors: DataFrame, threshold: float = 0.82) -> DataFrame:
     return vectors.groupBy("group").applyInPandas(run, f"group {kind['group']}, id {kind['id']}, cluster int")
 
 
-def merge_clusters(events: DataFrame, clusters: DataFrame) -> DataFrame:
+def merge_clusters(events: DataFrame, clusters: DataFrame | Column) -> DataFrame:
     """Events of one cluster as one: the first's phrase and id, sources once, all evidence, counts summed.
 
-    ``clusters`` has fileId, eventId and cluster. Confidence is the highest so
+    ``clusters`` has fileId, eventId and cluster, or is the cluster as a column of
+    ``events``, which spares the join. Confidence is the highest so
     far plus 0.05 for each event that joins, up to 1; persons beyond five are
-    others.
+    others. Events without evidence give none. Each of the lists is made by itself, in time by its length.
     """
-    per = F.struct("ord", "eventId", "event", "sources", "evidence", "place", "date", "persons", "others", "confidence", "count_mentions")
-    grouped = events.join(clusters, ["fileId", "eventId"]).groupBy("fileId", "cluster").agg(F.array_sort(F.collect_list(per)).alias("m"))
-    rest = F.slice("m", 2, 1_000_000)
-    head = F.get("m", F.lit(0))
-    confidence = F.aggregate(
-        rest, head["confidence"], lambda c, x: F.least(F.lit(1.0), F.round(F.greatest(c, x["confidence"]) + 0.05, 9))
-    )
-    start = F.struct(head["persons"].alias("persons"), head["others"].alias("others"))
-
-    def add(own: Column, x: Column) -> Column:
-        new = F.filter(x["persons"], lambda p: ~F.array_contains(own["persons"], p) & ~F.array_contains(own["others"], p))
-        room = F.greatest(F.lit(0), F.lit(PERSONS_SHOWN) - F.size(own["persons"]))
-        persons = F.concat(own["persons"], F.slice(new, F.lit(1), room))
-        others = F.concat(own["others"], F.slice(new, room + 1, 1_000_000))
-        more = F.filter(x["others"], lambda p: ~F.array_contains(persons, p) & ~F.array_contains(others, p))
-        return F.struct(persons.alias("persons"), F.concat(others, more).alias("others"))
-
-    people = F.aggregate(rest, start, add)
-    first = lambda c: F.get(F.filter(F.transform("m", lambda x: x[c]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
-    new_sources = F.aggregate(
-        rest,
-        head["sources"],
-        lambda own, x: F.concat(own, F.array_distinct(F.filter(x["sources"], lambda s: ~F.array_contains(own, s)))),
-    )
-    return grouped.withColumn("people", people).select(
-        "fileId",
-        head["eventId"].alias("eventId"),
-        head["event"].alias("event"),
-        new_sources.alias("sources"),
-        F.flatten(F.transform("m", lambda x: x["evidence"])).alias("evidence"),
+    met = events.withColumn("cluster", clusters) if isinstance(clusters, Column) else events.join(clusters, ["fileId", "eventId"])
+    head = lambda c: F.min(F.struct("ord", "eventId", F.col(c).alias("value")))["value"]
+    first = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("ord", "eventId", F.col(c).alias("value"))))["value"]
+    some = F.size("people") > 0
+    grouped = met.withColumn("people", F.concat("persons", "others")).groupBy("fileId", "cluster").agg(
+        head("eventId").alias("first_id"),
+        head("event").alias("event"),
+        _in_order("sources").alias("s"),
+        *([F.flatten(_in_order("evidence")).alias("evidence")] if "evidence" in events.columns else []),
         first("place").alias("place"),
         first("date").alias("date"),
-        "people.persons",
-        "people.others",
+        F.array_distinct(F.flatten(_in_order("people", some))).alias("names"),
+        _in_order("confidence").alias("c"),
+        F.sum("count_mentions").cast("int").alias("count_mentions"),
+        F.min("ord").alias("ord"),
+    )
+    rest = lambda c: F.slice(c, 2, MOST_NAMES)
+    confidence = F.aggregate(rest("c"), F.get("c", F.lit(0)), lambda c, x: F.least(F.lit(1.0), F.round(F.greatest(c, x) + 0.05, 9)))
+    own = F.get("s", F.lit(0))
+    return grouped.select(
+        "fileId",
+        F.col("first_id").alias("eventId"),
+        "event",
+        F.concat(own, F.array_except(F.flatten(rest("s")), own)).alias("sources"),
+        *(["evidence"] if "evidence" in events.columns else []),
+        "place",
+        "date",
+        F.slice("names", 1, PERSONS_SHOWN).alias("persons"),
+        F.slice("names", PERSONS_SHOWN + 1, MOST_NAMES).alias("others"),
         confidence.alias("confidence"),
-        F.aggregate("m", F.lit(0), lambda s, x: s + x["count_mentions"]).alias("count_mentions"),
-        head["ord"].alias("ord"),
+        "count_mentions",
+        "ord",
     )
 
 
@@ -226,16 +232,18 @@ def mentions_in_segments(segments_: DataFrame, places: Sequence[str] = (), parse
     """
     named = segments_.select(F.struct("fileId", "segId").alias("doc_id"), "text")
     said = split_sentences(named)
-    tokens, ents = parse(said) if parse is not None else rule_parse(said, places)
-    found = frames.mentions_of(frames.merge_entities(tokens, ents), ents, said.withColumnRenamed("text", "sentence"))
+    if parse is None:
+        found = parsing.rule_mentions(said, places)
+    else:
+        tokens, ents = parse(said)
+        found = frames.mentions_of(frames.merge_entities(tokens, ents), ents, said.withColumnRenamed("text", "sentence"))
     return found.select(
         "doc_id.fileId", "doc_id.segId", F.struct("doc_id.segId", "sent_id").alias("ord"), "canon", "sentence", "persons", "places", "dates"
     )
 
 
 def rule_parse(sentences: DataFrame, places: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    tokens = parsing.rule_tokens(sentences)
-    return tokens, parsing.rule_entities(tokens, places)
+    return parsing.rule_tokens(sentences), parsing.rule_entities(sentences, places)
 
 
 def extract_events_from_segments(

@@ -4,14 +4,88 @@
 ``ents(doc_id, sent_id, start_i, end_i, text, label)`` are what a parser backend
 yields; ``end_i`` isn't included. All steps are equi-joins or groups by document
 and sentence, so one partitioning serves them all.
+
+:func:`merged`, :func:`frames_of`, :func:`phrase_of` and :func:`names_by_kind` are the same for one sentence whose tokens
+are at hand (:class:`loomtext.operators.parsing.Parse`), without any join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from loomtext.operators.parsing import Parse
+
 _SENTENCE = ["doc_id", "sent_id"]
+PERSON, PLACES, DATES = ("PERSON",), ("FAC", "GPE", "LOC"), ("DATE", "TIME")
+
+
+def merged(tokens: Parse, names: Sequence[tuple[int, int, str, str]]) -> Parse:
+    """A sentence's tokens with each name (start_i, end_i, text, label) as one token, as :func:`merge_entities` has them."""
+    if not names:
+        return tokens
+    head_of = dict(zip(tokens.i, tokens.head))
+    within: dict[int, tuple[int, str]] = {}
+    for start, end, text, _ in names:
+        root = next((i for i in range(start, end) if i in head_of and (not start <= head_of[i] < end or head_of[i] == i)), None)
+        if root is not None:
+            within.update(dict.fromkeys(range(start, end), (root, text)))
+    rows = []
+    for i, text, lemma, pos, dep, head in zip(*tokens):
+        root, name = within.get(i, (i, None))
+        if root == i:
+            rows.append((i, text if name is None else name, lemma if name is None else name, pos, dep, within[head][0] if head in within else head))
+    return type(tokens)(*map(list, zip(*rows)))
+
+
+def _below(tokens: Parse) -> dict[int, list[int]]:
+    """Places of the tokens that hang on each token, in order."""
+    below: dict[int, list[int]] = {}
+    for k, (i, head) in enumerate(zip(tokens.i, tokens.head)):
+        if i != head:
+            below.setdefault(head, []).append(k)
+    return below
+
+
+def _parts(tokens: Parse, below: dict[int, list[int]], head: int) -> tuple[list[str], list[str], list[str]]:
+    """Texts of a token's subjects, objects and prepositions' objects, in order."""
+    own = below.get(head, ())
+    subjects = [tokens.text[k] for k in own if tokens.dep[k] in ("nsubj", "nsubjpass")]
+    objects = [tokens.text[k] for k in own if tokens.dep[k] == "dobj"]
+    under = [tokens.text[o] for k in own if tokens.dep[k] == "prep" for o in below.get(tokens.i[k], ()) if tokens.dep[o] == "pobj"]
+    return subjects, objects, under
+
+
+def frames_of(tokens: Parse) -> list[tuple[int, str, str, str]]:
+    """(i, verb, subject, object) of a sentence's verbs, as :func:`verb_frames` has them."""
+    if "VERB" not in tokens.pos:
+        return []
+    below, found = _below(tokens), []
+    for i, text, pos in zip(tokens.i, tokens.text, tokens.pos):
+        if pos == "VERB":
+            subjects, objects, under = _parts(tokens, below, i)
+            found.append((i, text, next(iter(subjects), ""), next(iter(objects or under), "")))
+    return found
+
+
+def phrase_of(tokens: Parse, sentence: str) -> str:
+    """A sentence's phrase, as :func:`event_phrases` has it."""
+    roots = (k for k, (dep, pos) in enumerate(zip(tokens.dep, tokens.pos)) if dep == "ROOT" and pos in ("VERB", "AUX"))
+    k = next(roots, tokens.pos.index("VERB") if "VERB" in tokens.pos else None)
+    if k is None:
+        return sentence.strip(" ")
+    subjects, objects, under = _parts(tokens, _below(tokens), tokens.i[k])
+    parts = " ".join(subjects), tokens.lemma[k] or tokens.text[k], " ".join(objects) or " ".join(under)
+    return " ".join(p for p in parts if p).strip(" ")
+
+
+def names_by_kind(names: Sequence[tuple[int, int, str, str]]) -> list[list[str]]:
+    """Distinct names of persons, places and dates, as :func:`sentence_entities` has them."""
+    return [list(dict.fromkeys(text for _, _, text, label in names if label in own)) for own in (PERSON, PLACES, DATES)]
 
 
 def merge_entities(tokens: DataFrame, ents: DataFrame) -> DataFrame:
@@ -142,7 +216,7 @@ def sentence_entities(ents: DataFrame) -> DataFrame:
         return F.array_distinct(F.transform(own, lambda x: x["text"]))
 
     return ents.groupBy(*_SENTENCE).agg(
-        names("PERSON").alias("persons"), names("FAC", "GPE", "LOC").alias("places"), names("DATE", "TIME").alias("dates")
+        names(*PERSON).alias("persons"), names(*PLACES).alias("places"), names(*DATES).alias("dates")
     )
 
 
