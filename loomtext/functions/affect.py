@@ -131,7 +131,12 @@ def emotion_signed_from_distribution(distribution: Column) -> Column:
 
 def renormalized(distribution: Column, labels: Sequence[str] = EMOTIONS) -> Column:
     """The seven labels' shares of their sum; as they are where the sum is 0."""
-    value = [F.coalesce(distribution[k], F.lit(0.0)) for k in labels]
-    whole = sum(value[1:], value[0])
-    part = [v / F.when(whole == 0, 1.0).otherwise(whole) for v in value]
-    return F.when(distribution.isNotNull(), F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*part)))
+
+    def shares(value: Column) -> Column:
+        whole = sum((F.get(value, F.lit(i)) for i in range(1, len(labels))), F.get(value, F.lit(0)))
+        return let(F.when(whole == 0, 1.0).otherwise(whole), lambda z: F.map_from_arrays(F.array(*map(F.lit, labels)), F.transform(value, lambda v: v / z)))
+
+    def read(known: Column) -> Column:
+        return F.when(known.isNotNull(), let(F.array(*[F.coalesce(known[k], F.lit(0.0)) for k in labels]), shares))
+
+    return let(distribution, read)

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import events, frames, parsing, segments
+from loomtext.functions import affect
+from loomtext.operators import events, frames, parsing
 from loomtext.plans import catalog
 
 WORDS = "Eva Maria Warsaw May 1944 Party she the of to in and was had often walked left saw built house river bread 12 , Then We".split()
@@ -77,3 +78,16 @@ def test_clusters_by_column_equal_clusters_by_table(spark):
     assert "evidence" not in events.merge_clusters(events.aggregate_mentions(spark.createDataFrame(rows, kind), evidence=False), first).columns
     # one shuffle for the events and one for the clusters
     assert plan_of(by_column).count("Exchange hashpartitioning") == 2
+
+
+def test_an_answer_is_parsed_once(spark, tmp_path):
+    spark.range(50).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("llm_parse_emotion", "llm_parse_sentiment"):
+        found = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = plan_of(found)
+        assert plan.count("from_json") + plan.count("jsontostructs") + plan.count("JsonToStructsEvaluator") <= 2
+        assert plan.count("get_json_object") <= 2
+    shares = affect.renormalized(F.col("d"))
+    df = spark.createDataFrame([({"joy": 3.0, "fear": 1.0},), ({"joy": 0.0},), (None,)], "d map<string,double>")
+    got = [r[0] for r in df.select(shares).collect()]
+    assert (got[0]["joy"], got[0]["fear"], got[0]["anger"]) == (0.75, 0.25, 0.0) and set(got[1].values()) == {0.0} and got[2] is None
