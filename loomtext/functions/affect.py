@@ -90,9 +90,7 @@ def emotion_of_counts(counts: Column) -> Column:
 
     def shares(n: Column) -> Column:
         whole = F.aggregate(n, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double")))
-        soft = let(whole, lambda z: F.transform(n, lambda x: F.exp(x.cast("double")) / z))
-        certain = F.array(*[F.lit(1.0 if e == "neutral" else 0.0) for e in EMOTIONS])
-        return F.when(F.exists(n, lambda x: x > 0), soft).otherwise(certain)
+        return let(whole, lambda z: F.transform(n, lambda x: F.exp(x.cast("double")) / z))
 
     def read(p: Column) -> Column:
         names = F.array(*map(F.lit, EMOTIONS))
@@ -105,7 +103,9 @@ def emotion_of_counts(counts: Column) -> Column:
             F.map_from_arrays(names, p).alias("distribution"),
         )
 
-    return let(let(counts, shares), read)
+    # without a hit the answer is a constant
+    certain = read(F.array(*[F.lit(1.0 if e == "neutral" else 0.0) for e in EMOTIONS]))
+    return let(counts, lambda n: F.when(F.exists(n, lambda x: x > 0), let(shares(n), read)).otherwise(certain))
 
 
 def rule_emotion(text: Column, words: Mapping[str, Sequence[str]] = EMOTION_WORDS) -> Column:

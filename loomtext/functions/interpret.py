@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import let
+
 THEMES: dict[str, tuple[str, ...]] = {
     "family": ("brother", "children", "family", "father", "mother", "parents", "sister"),
     "place": ("amsterdam", "auschwitz", "camp", "city", "forest", "ghetto", "village"),
@@ -36,11 +38,14 @@ def explanation(sentiment_label: Column, emotion_label: Column) -> Column:
 
 def themes(text: Column, buckets: Mapping[str, Sequence[str]] = THEMES) -> Column:
     """Themes with a keyword anywhere in the lower-case text, also inside a word; none for null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hit = []
-    for theme, words in buckets.items():
-        found = F.lit(False)
-        for word in words:
-            found = found | F.contains(low, F.lit(word.lower()))
-        hit.append(F.when(found, theme))
-    return F.array_compact(F.array(*hit)) if hit else F.array().cast("array<string>")
+
+    def tagged(low: Column) -> Column:
+        hit = []
+        for theme, words in buckets.items():
+            found = F.lit(False)
+            for word in words:
+                found = found | F.contains(low, F.lit(word.lower()))
+            hit.append(F.when(found, theme))
+        return F.array_compact(F.array(*hit))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), tagged) if buckets else F.array().cast("array<string>")

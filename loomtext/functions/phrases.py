@@ -60,12 +60,22 @@ def phrase_matches(text: str, terms: Mapping[str, Sequence[str]]) -> Column:
     known = ", ".join(map(_quoted, every))
     kind = "array<struct<less:int,at:int,token:string>>"
     # let(v, x -> body) is transform(array(v), x -> body)[0]: v is worked out once
-    runs = f"filter(transform(sequence(1, {max(map(len, split))}), k -> array_join(slice(p, i + 1, k), '')), c -> c in ({known}))"
+    # few terms have many pieces; only after their first pieces are so many joined
+    longest: dict[str, int] = {}
+    for own in split:
+        longest[own[0]] = max(longest.get(own[0], 0), len(own))
+    upto = str(max(longest.values()))
+    for most in (3, 1):
+        short = sorted(h for h, n in longest.items() if n <= most)
+        upto = f"if(p[i] in ({', '.join(map(_quoted, short))}), {most}, {upto})" if short else upto
+    runs = f"filter(transform(sequence(1, {upto}), k -> array_join(slice(p, i + 1, k), '')), c -> c in ({known}))"
     placed = "transform(array(length(array_join(slice(p, 1, i), ''))), n -> transform(f, c -> named_struct('less', -length(c), 'at', n, 'token', c)))[0]"
     at_start = f"transform(array(array_distinct({runs})), f -> if(size(f) > 0, {placed}, cast(array() as {kind})))[0]"
     starts = f"filter(if(size(p) > 0, sequence(0, size(p) - 1), cast(array() as array<int>)), i -> p[i] in ({heads}))"
-    pieces = f"coalesce(regexp_extract_all(`{text}`, {_quoted(PIECE)}, 1), cast(array() as array<string>))"
-    found = f"transform(array({pieces}), p -> array_sort(flatten(transform({starts}, i -> {at_start}))))[0]"
+    # most texts have no such piece, and nothing to sort or to fold
+    matched = f"transform(array({starts}), b -> if(size(b) > 0, array_sort(flatten(transform(b, i -> {at_start}))), cast(array() as {kind})))[0]"
+    pieces = f"coalesce(regexp_extract_all(`{text}`, {_quoted(PIECE[1:-1])}, 0), cast(array() as array<string>))"
+    found = f"transform(array({pieces}), p -> {matched})[0]"
     apart = "exists(own, y -> x.at < y.at - y.less and y.at < x.at - x.less)"
     kept = F.expr(f"aggregate({found}, cast(array() as {kind}), (own, x) -> if({apart}, own, concat(own, array(x))))")
     label = lambda token: F.coalesce(*[F.when(holds(own, token), k) for k, own in terms.items() if own])

@@ -13,8 +13,10 @@ from loomtext.functions import text as T
 def _each(df: DataFrame, parts: Column, number: str, first: int, count: str | None = None) -> DataFrame:
     others = [c for c in df.columns if c not in ("text", number, count)]
     kept = df.where(~T.is_blank(F.col("text"))).select(*others, parts.alias("__parts"))
-    columns = [*others, F.posexplode("__parts").alias("__at", "text")] + ([F.size("__parts").alias(count)] if count else [])
-    found = kept.select(*columns)
+    if count:
+        # the number goes with each part, the parts themselves don't
+        kept = kept.select(*others, "__parts", F.size("__parts").alias(count))
+    found = kept.select(*others, *([count] if count else []), F.posexplode("__parts").alias("__at", "text"))
     numbered = [(F.col("__at") + first).alias(number), *([F.col(count)] if count else []), F.col("text")]
     return found.select(*others, *numbered)
 

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.functions import affect
-from loomtext.operators import events, frames, parsing
+from loomtext.functions import affect, phrases
+from loomtext.operators import events, frames, parsing, segments
 from loomtext.plans import catalog
 
 WORDS = "Eva Maria Warsaw May 1944 Party she the of to in and was had often walked left saw built house river bread 12 , Then We".split()
@@ -91,3 +91,28 @@ def test_an_answer_is_parsed_once(spark, tmp_path):
     df = spark.createDataFrame([({"joy": 3.0, "fear": 1.0},), ({"joy": 0.0},), (None,)], "d map<string,double>")
     got = [r[0] for r in df.select(shares).collect()]
     assert (got[0]["joy"], got[0]["fear"], got[0]["anger"]) == (0.75, 0.25, 0.0) and set(got[1].values()) == {0.0} and got[2] is None
+
+
+def test_parts_of_a_text_do_not_travel_with_each_part(spark):
+    docs = spark.createDataFrame([(1, "Dr. Kay left. Then Eva came! So?"), (2, "no stop"), (3, None)], "doc_id int, text string")
+    found = segments.split_into_segments(docs, 2)
+    assert [(r["doc_id"], r["segId"], r["segCount"], r["text"]) for r in found.orderBy("doc_id", "segId").collect()] == [
+        (1, 1, 2, "Dr. Kay left. Then Eva came!"), (1, 2, 2, "So?"), (2, 1, 1, "no stop")
+    ]
+    generate = next(line for line in plan_of(found).splitlines() if "Generate posexplode" in line)
+    assert "segCount" in generate.split("], false")[0] and "__parts" not in generate.split("), [", 1)[1]
+
+
+def test_rows_without_a_listed_word(spark):
+    df = spark.createDataFrame([("Joy, joy and pain!",), ("nothing here",), ("enjoyment",), (None,)], "text string")
+    joy = affect.EMOTION_WORDS
+    got = [r[0] for r in df.select(affect.rule_emotion(F.col("text"), joy)).collect()]
+    assert [g["label"] for g in got] == ["joy", "neutral", "neutral", "neutral"] and got[1] == got[2] == got[3] and got[1]["distribution"]["neutral"] == 1.0
+    assert [tuple(r[0]) for r in df.select(affect.polarity_counts(F.col("text"))).collect()] == [(2, 1), (0, 0), (0, 0), (0, 0)]
+
+
+def test_terms_of_one_and_of_many_pieces(spark):
+    terms = {"A": ("New", "New York", "New York City Hall by Day", "[laughs out]"), "B": ("Hall",)}
+    df = spark.createDataFrame([("In New York City Hall by Day, New York, New Hall [laughs out]",), ("none",), ("",), (None,)], "text string")
+    got = [[tuple(e) for e in r[0]] for r in df.select(phrases.phrase_matches("text", terms)).collect()]
+    assert got == [[(3, "New York City Hall by Day", "A"), (30, "New York", "A"), (40, "New", "A"), (44, "Hall", "B"), (49, "[laughs out]", "A")], [], [], []]
