@@ -64,12 +64,6 @@ def aggregate_mentions(mentions: DataFrame, evidence: bool = True) -> DataFrame:
     )
 
 
-def _in_order(column: str, where: Column | None = None) -> Column:
-    """A group's values of a column, in order of ord; only the rows of ``where``, if given."""
-    one = F.struct("ord", "eventId", F.col(column).alias("value"))
-    return F.transform(F.array_sort(F.collect_list(one if where is None else F.when(where, one))), lambda x: x["value"])
-
-
 def categorized(events: DataFrame, least_mentions: int = 2) -> DataFrame:
     """``events`` with category: major if mentioned often for its file, or if person and place are known."""
     # a maximum and a join: a file's events needn't meet in one task
@@ -144,21 +138,24 @@ def merge_clusters(events: DataFrame, clusters: DataFrame | Column) -> DataFrame
     others. Events without evidence give none. Each of the lists is made by itself, in time by its length.
     """
     met = events.withColumn("cluster", clusters) if isinstance(clusters, Column) else events.join(clusters, ["fileId", "eventId"])
-    head = lambda c: F.min(F.struct("ord", "eventId", F.col(c).alias("value")))["value"]
-    first = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("ord", "eventId", F.col(c).alias("value"))))["value"]
-    some = F.size("people") > 0
-    grouped = met.withColumn("people", F.concat("persons", "others")).groupBy("fileId", "cluster").agg(
+    # events that begin together go by id, of which a number is enough: ids don't compress
+    met = met.withColumns({"people": F.concat("persons", "others"), "tie": F.conv(F.substring("eventId", 1, 15), 16, 10).cast("bigint")})
+    head = lambda c: F.min(F.struct("ord", "tie", F.col(c).alias("value")))["value"]
+    first = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("ord", "tie", F.col(c).alias("value"))))["value"]
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct("ord", "tie", *c)))
+    of = lambda m, c: F.transform(m, lambda x: x[c])
+    grouped = met.groupBy("fileId", "cluster").agg(
         head("eventId").alias("first_id"),
         head("event").alias("event"),
-        _in_order("sources").alias("s"),
-        *([F.flatten(_in_order("evidence")).alias("evidence")] if "evidence" in events.columns else []),
+        listed("sources", "people").alias("m"),
+        *([F.flatten(of(listed("evidence"), "evidence")).alias("evidence")] if "evidence" in events.columns else []),
         first("place").alias("place"),
         first("date").alias("date"),
-        F.array_distinct(F.flatten(_in_order("people", some))).alias("names"),
-        _in_order("confidence").alias("c"),
+        of(listed("confidence"), "confidence").alias("c"),
         F.sum("count_mentions").cast("int").alias("count_mentions"),
         F.min("ord").alias("ord"),
     )
+    grouped = grouped.withColumns({"s": of("m", "sources"), "names": F.array_distinct(F.flatten(of("m", "people")))})
     rest = lambda c: F.slice(c, 2, MOST_NAMES)
     confidence = F.aggregate(rest("c"), F.get("c", F.lit(0)), lambda c, x: F.least(F.lit(1.0), F.round(F.greatest(c, x) + 0.05, 9)))
     own = F.get("s", F.lit(0))
